@@ -11,14 +11,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_spans
+
+    return find_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_count import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op6_token_counts]
+    named = [op5_pii, op6_token_counts, op7_langid]
     return {f.__name__: f for f in named}
 
 
