@@ -29,8 +29,14 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op5_pii, op6_token_counts, op7_langid]
+    named = [op5_pii, op6_token_counts, op7_langid, op9_html_text]
     return {f.__name__: f for f in named}
 
 
