@@ -116,7 +116,7 @@ def map_texts(df: DataFrame, columns: dict[str, Column], fn: Callable[[Iterator[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(out_schema)
         for out in fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in batches):
-            yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+            yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.select(*[c.alias(n) for n, c in columns.items()]).mapInArrow(run, out_schema)
 

@@ -17,6 +17,12 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -48,7 +54,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_minhash, op4_toxicity, op5_pii, op6_token_counts, op7_langid, op9_html_text]
+    named = [op2_minhash, op3_decontaminate, op4_toxicity, op5_pii, op6_token_counts, op7_langid, op9_html_text]
     return {f.__name__: f for f in named}
 
 
