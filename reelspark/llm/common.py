@@ -140,6 +140,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder: smaller than a checkpoint, columns are pruned when read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; one of this machine only where it is unset."""
     context = spark.sparkContext

@@ -47,6 +47,12 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_viterbi import digests, encode_documents
+
+    return digests(encode_documents(table(spark, sf_dir, "documents")))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
@@ -54,7 +60,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_minhash, op3_decontaminate, op4_toxicity, op5_pii, op6_token_counts, op7_langid, op9_html_text]
+    named = [op2_minhash, op3_decontaminate, op4_toxicity, op5_pii, op6_token_counts, op7_langid, op8_sentencepiece, op9_html_text]
     return {f.__name__: f for f in named}
 
 
