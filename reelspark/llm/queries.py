@@ -59,8 +59,14 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .attention_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_minhash, op3_decontaminate, op4_toxicity, op5_pii, op6_token_counts, op7_langid, op8_sentencepiece, op9_html_text]
+    named = [op2_minhash, op3_decontaminate, op4_toxicity, op5_pii, op6_token_counts, op7_langid, op8_sentencepiece, op9_html_text, op10_attention_lm]
     return {f.__name__: f for f in named}
 
 
