@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -66,7 +72,7 @@ def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_minhash, op3_decontaminate, op4_toxicity, op5_pii, op6_token_counts, op7_langid, op8_sentencepiece, op9_html_text, op10_attention_lm]
+    named = [op1_embed_dedup, op2_minhash, op3_decontaminate, op4_toxicity, op5_pii, op6_token_counts, op7_langid, op8_sentencepiece, op9_html_text, op10_attention_lm]
     return {f.__name__: f for f in named}
 
 
