@@ -121,6 +121,8 @@ def _rows(key: str, fixed: frozenset | None, wanted):
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         names = (key, "size", "total", "tokens", "hash", "at", "kinds", "values")
         hashes = wanted.value if wanted is not None else None
+        if hashes is not None and not len(hashes):
+            return
         if hashes is not None:
             bits = np.zeros(1 << 22, dtype=bool)
             bits[(hashes & np.uint64((1 << 22) - 1)).astype(np.intp)] = True
@@ -135,7 +137,7 @@ def _rows(key: str, fixed: frozenset | None, wanted):
                         if hashes is not None and total:
                             good &= bits[(hashed & np.uint64((1 << 22) - 1)).astype(np.intp)]
                             near = np.flatnonzero(good)
-                            good = near[np.isin(hashed[near], hashes)]
+                            good = near[hashes[np.minimum(np.searchsorted(hashes, hashed[near]), len(hashes) - 1)] == hashed[near]] if len(near) else near
                         else:
                             good = np.flatnonzero(good)
                         for at in good.tolist():
@@ -158,7 +160,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     few = items.select("hash").distinct().limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     wanted = None
     if few:
-        wanted = spark.sparkContext.broadcast(np.array(sorted(r["hash"] for r in items.select("hash").distinct().collect()), dtype=np.int64).astype(np.uint64))
+        wanted = spark.sparkContext.broadcast(np.sort(np.array([r["hash"] for r in items.select("hash").distinct().collect()], dtype=np.int64).view(np.uint64)))
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).filter("doc_id is not null and text is not null")
     hits = map_texts(own, {"doc_id": F.col("doc_id"), "text": F.col("text")}, _rows("doc_id", sizes, wanted), schema.format("doc_id"))
     hits = hits.select("doc_id", "size", "hash", F.col("at").alias("p"), F.col("values").alias("said")).distinct()
