@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from reelspark.llm import decontaminate, langid, minhash, pii, piece_viterbi
+from reelspark.llm.common import written
 
 
 def _mapped(docs: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
@@ -49,13 +50,20 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, personal data in its text masked by kind."""
+    """Every document, personal data in its text masked by kind, n_chars as the new text has it."""
     schema = docs.schema
 
     def mask(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = batch.schema.get_field_index("text")
-        texts = pa.array([pii.masked(t) for t in batch.column(at).to_pylist()], type=batch.schema.field(at).type)
-        return pa.RecordBatch.from_arrays([texts if i == at else batch.column(i) for i in range(batch.num_columns)], names=schema.names)
+        old = batch.column(at).to_pylist()
+        new = [pii.masked(t) for t in old]
+        columns = [*batch.columns]
+        columns[at] = pa.array(new, type=batch.schema.field(at).type)
+        n = batch.schema.get_field_index("n_chars")
+        if n >= 0:
+            kept = columns[n].to_pylist()
+            columns[n] = pa.array([k if o == t else len(t) for k, o, t in zip(kept, old, new, strict=True)], type=batch.schema.field(n).type)
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return _mapped(docs, mask)
 
@@ -79,8 +87,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each result written as Parquet in the shared folder and read by the next."""
-    from reelspark.llm.common import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
