@@ -38,7 +38,10 @@ class Reservation:
 
 
 class RollingLimiter:
-    """Admits starts of requests under limits of requests and tokens a minute; time is given, so it runs over stored events too."""
+    """Admits starts of requests under limits of requests and tokens a minute; time is given, so it runs over stored events too.
+
+    Waiting for exactly wait() and trying again needs times that add without rounding: whole microseconds, say.
+    """
 
     def __init__(self, requests: int, tokens: int, window: float = 60.0) -> None:
         for name, v in (("requests", requests), ("tokens", tokens)):
@@ -69,7 +72,7 @@ class RollingLimiter:
 
     def wait(self, now: float) -> float:
         """Seconds until the oldest reservation leaves."""
-        return max(0.0, self.held[0].t + self.window - now) if self.held else self.window
+        return max(0, self.held[0].t + self.window - now) if self.held else self.window
 
     def reconcile(self, reservation: Reservation, actual: int) -> None:
         """The tokens that a request really used."""
@@ -82,16 +85,17 @@ def admission_times(rows: DataFrame, key: str, requests: int, tokens: int, order
     """When each single-item request of a provider is admitted: each waits for those before it. Sequential for each key by nature."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limiter, own, clock = None, None, 0.0
+        limiter, own, clock = None, None, 0
         for batch in batches:
             out = []
             for k, t, c in zip(batch[key], batch[order], batch[cost], strict=True):
+                t = int(t)
                 if limiter is None or k != own:
-                    limiter, own, clock = RollingLimiter(requests, tokens), k, float("-inf")
-                clock = max(clock, t / 1e6)
+                    limiter, own, clock = RollingLimiter(requests, tokens, WINDOW_US), k, t
+                clock = max(clock, t)
                 while limiter.attempt(clock, [int(c)]) is None:
                     clock += limiter.wait(clock)
-                out.append(round(clock * 1e6))
+                out.append(clock)
             yield batch.assign(admitted_us=out)
 
     # Rows of a key stand together and in order; nothing of a group is held but the last minute.

@@ -75,8 +75,10 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumn("good", good)
     last = rows.agg(F.max("at").alias("last"))
     rows = rows.crossJoin(F.broadcast(last))  # a single row
-    kept = F.when(F.col("good"), F.lit(True)).when(F.col("at") == F.col("last"), F.lit(False)).otherwise(F.raise_error(F.concat(F.lit(f"corrupt journal {path} at line "), (F.col("at") + 1).cast("string"))).cast("boolean"))
-    return rows.filter(kept).select("r.*")
+    # The check is part of the value, so that no later filter can pass it by.
+    broken = F.raise_error(F.concat(F.lit(f"corrupt journal {path} at line "), (F.col("at") + 1).cast("string")))
+    rows = rows.select(F.when(F.col("good"), F.col("r")).when(F.col("at") == F.col("last"), F.lit(None)).otherwise(broken).alias("r"))
+    return rows.filter("r is not null").select("r.*")
 
 
 def completed(spark: SparkSession, path: str, instance: str) -> DataFrame:
