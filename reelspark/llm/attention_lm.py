@@ -21,6 +21,7 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,9 +35,9 @@ from .common import bounded, map_texts, remainder, written
 from .vocabulary import SPACE, Vocabulary, default_path
 
 #: At most so many words are broadcast, those of a FREQUENT-th of all tokens or more, and of at most WORD_BYTES bytes.
-FREQUENT = 200_000
+FREQUENT = 1_000_000
 WORD_BYTES = 64
-HEAD = 128
+HEAD = 96
 WIDTH, HIDDEN = 16, 32
 CONTEXT, STRIDE = 32, 16
 #: Bounds of the training sample.
@@ -53,31 +54,44 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class Cutter:
-    """Cuts words into the longest pieces from the left."""
+    """Cuts words into the longest pieces from the left, along a trie of the pieces."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.ids = vocabulary.normal
         self.bytes = vocabulary.byte_ids
         self.unknown = vocabulary.unknown
-        self.size = len(vocabulary.pieces)
-        self.longest: dict[str, int] = {}
-        for p in self.ids:
-            self.longest[p[:2]] = max(self.longest.get(p[:2], 1), len(p))
+        self.root: dict = {}
+        for p, i in vocabulary.normal.items():
+            node = self.root
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = i
+        self.first = self.root.get(SPACE, {})
 
     def word(self, word: bytes) -> list[int]:
-        text = SPACE + word.decode("utf-8", "replace")
-        ids, longest, out, at, n = self.ids, self.longest, [], 0, len(text)
-        while at < n:
-            for size in range(longest.get(text[at : at + 2], 1), 0, -1):
-                i = ids.get(text[at : at + size])
-                if i is not None:
-                    out.append(i)
+        text = word.decode("utf-8", "replace")
+        out, at, n = [], 0, len(text)
+        root = self.root
+        # The mark in front is part of the first piece.
+        node, who, end = self.first, self.first.get(""), 0
+        i = 0
+        while True:
+            while i < n:
+                node = node.get(text[i])
+                if node is None:
                     break
+                i += 1
+                if "" in node:
+                    who, end = node[""], i
+            if who is not None:
+                out.append(who)
+                at = end
             else:
-                size = 1
-                out += [self.bytes[b] for b in text[at].encode("utf-8", "replace")] if self.bytes else [self.unknown]
-            at += min(size, n - at)
-        return out
+                c = text[at] if at < n and out else SPACE
+                out += [self.bytes[b] for b in c.encode("utf-8", "replace")] if self.bytes else [self.unknown]
+                at += c is not SPACE
+            if at >= n:
+                return out
+            node, who, end, i = root, None, at, at
 
 
 @dataclass
@@ -87,6 +101,7 @@ class Model:
     class_of: np.ndarray  # of each id and, last, of the end
     share: np.ndarray  # log10, 0 for ids with a class of their own
     weights: dict[str, np.ndarray]
+    name: str = ""
 
     def windows(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Inputs (n, CONTEXT), targets (n, STRIDE) and which targets are real, of one text's classes."""
@@ -148,6 +163,42 @@ def forward(w: dict[str, np.ndarray], inputs: np.ndarray, keep: bool = False) ->
     return logits, {"own": own, "flat": flat, "q": q, "k": k, "v": v, "a": a, "c": c, "h": h, "z": z, "g": g, "r": r} if keep else None
 
 
+class Scorer:
+    """The same network for scoring alone: weights folded, sums as products, a distribution's logits and its normaliser in few passes."""
+
+    def __init__(self, w: dict[str, np.ndarray]) -> None:
+        self.w = w
+        self.pairs = np.ascontiguousarray(np.concatenate([w["Wk"], w["Wv"]], axis=1))
+        self.query = w["Wq"] * np.float32(WIDTH**-0.5)
+        self.out = np.ascontiguousarray(np.concatenate([w["U"], w["b"][None, :]]))
+        self.ones = np.ones(max(HEAD, CONTEXT), np.float32)
+
+    def logits(self, inputs: np.ndarray) -> np.ndarray:
+        w, n = self.w, len(inputs)
+        x = w["E"][inputs]
+        x += w["P"]
+        own = np.ascontiguousarray(x[:, CONTEXT - STRIDE :]).reshape(-1, WIDTH)
+        kv = (x.reshape(-1, WIDTH) @ self.pairs).reshape(n, CONTEXT, 2 * WIDTH)
+        a = (own @ self.query).reshape(n, STRIDE, WIDTH) @ kv[:, :, :WIDTH].transpose(0, 2, 1)
+        a += _CAUSAL
+        if (inputs[:, 0] < 0).any():
+            a += np.where(inputs < 0, np.float32(-1e9), np.float32(0))[:, None, :]
+        np.minimum(a, np.float32(60), out=a)  # far above any score of a trained head; keeps exp finite
+        np.exp(a, out=a)
+        c = (a @ kv[:, :, WIDTH:]).reshape(-1, WIDTH)
+        c /= (a.reshape(-1, CONTEXT) @ self.ones[:CONTEXT])[:, None]
+        h = c @ w["Wo"]
+        h += own
+        z = h @ w["W1"]
+        z += w["b1"]
+        np.maximum(z, 0, out=z)
+        h += z @ w["W2"]
+        g = np.empty((len(h), WIDTH + 1), np.float32)
+        np.divide(h, np.sqrt((h * h) @ self.ones[:WIDTH] / np.float32(WIDTH) + np.float32(1e-5))[:, None], out=g[:, :WIDTH])
+        g[:, WIDTH] = 1
+        return g @ self.out
+
+
 def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean cross entropy over the real targets, and its gradients."""
     logits, s = forward(w, inputs, keep=True)
@@ -227,13 +278,18 @@ def log10_probabilities(model: Model, texts: list[np.ndarray], size: int = 256)
     owner = np.repeat(np.arange(len(texts)), counts)
     first = np.arange(int(begins[-1])) * STRIDE + owner * head
     view = np.lib.stride_tricks.sliding_window_view(line, CONTEXT)
+    scorer = Scorer(model.weights)
     for at in range(0, len(first), size):
-        logits, _ = forward(model.weights, view[first[at : at + size]])
+        logits = scorer.logits(view[first[at : at + size]])
         t = goal[at * STRIDE : (at + size) * STRIDE]
         real = t >= 0
         chosen = logits[np.arange(len(t)), np.maximum(t, 0)].astype(np.float64)
+        top = logits.max()
+        if top > 60:  # not with trained weights
+            logits -= top
+            chosen -= float(top)
         np.exp(logits, out=logits)
-        one = np.where(real, chosen - np.log(logits.sum(axis=1, dtype=np.float32)), 0.0)
+        one = np.where(real, chosen - np.log(logits @ scorer.ones[:HEAD]), 0.0)
         np.add.at(out, owner[at : at + size], one.reshape(-1, STRIDE).sum(axis=1))
     return out / _LOG10
 
@@ -249,29 +305,32 @@ def build(cutter: Cutter, counts: np.ndarray) -> Model:
     share = np.zeros(len(counts))
     share[rest] = np.log10(mass / mass.sum()) if rest.any() else 0.0
     by_class = np.bincount(class_of, weights=counts, minlength=HEAD) + 1.0
-    return Model(class_of, share, fresh_weights(np.log(by_class / by_class.sum())))
+    return Model(class_of, share, fresh_weights(np.log(by_class / by_class.sum())), uuid.uuid4().hex)
 
 
 class Reader:
-    """Classes of words and shares of their ids in the class of the rest; keeps what it has met."""
+    """Of words: their classes, the share of their ids in the class of the rest, and log10 of their count if they are frequent. Keeps what it has met."""
 
-    def __init__(self, cutter: Cutter, model: Model) -> None:
-        self.cutter, self.model = cutter, model
-        self.young: dict[bytes, tuple[bytes, float]] = {}
-        self.old: dict[bytes, tuple[bytes, float]] = {}
+    def __init__(self, cutter: Cutter, model: Model, often: dict[bytes, float]) -> None:
+        self.cutter, self.model, self.often = cutter, model, often
+        self.classes, self.shares = model.class_of.tolist(), model.share.tolist()
+        self.end = bytes([self.classes[-1]])
+        self.young: dict[bytes, tuple[bytes, float, float | None]] = {}
+        self.old: dict[bytes, tuple[bytes, float, float | None]] = {}
 
-    def word(self, word: bytes) -> tuple[bytes, float]:
+    def word(self, word: bytes) -> tuple[bytes, float, float | None]:
         own = self.old.get(word)
         if own is None:
-            ids = np.array(self.cutter.word(word))
-            own = self.model.class_of[ids].tobytes(), float(self.model.share[ids].sum())
+            ids, classes, shares = self.cutter.word(word), self.classes, self.shares
+            own = bytes([classes[i] for i in ids]), sum([shares[i] for i in ids]), self.often.get(word)
         if len(word) <= WORD_BYTES:
             if len(self.young) >= KEPT_WORDS:
                 self.young, self.old = {}, self.young
             self.young[word] = own
         return own
 
-    def text(self, words: list[bytes]) -> tuple[np.ndarray, float]:
+    def text(self, words: list[bytes]) -> tuple[np.ndarray, float, list[float], Counter]:
+        """Classes with the end, sum of shares, log10 counts of the frequent words, and the other words with how often they occur."""
         get, word = self.young.get, self.word
         found = []
         for x in words:
@@ -280,8 +339,19 @@ class Reader:
                 own = word(x)
                 get = self.young.get
             found.append(own)
-        end = bytes([int(self.model.class_of[-1])])
-        return np.frombuffer(b"".join([f[0] for f in found]) + end, dtype=np.uint8), sum([f[1] for f in found])
+        counts = [f[2] for f in found if f[2] is not None]
+        rare = Counter([x for x, f in zip(words, found, strict=True) if f[2] is None]) if len(counts) < len(words) else Counter()
+        return np.frombuffer(b"".join([f[0] for f in found]) + self.end, dtype=np.uint8), sum([f[1] for f in found]), counts, rare
+
+
+_READER: list[Reader] = []
+
+
+def reader(model: Model, path: str, often: dict[bytes, float]) -> Reader:
+    """One reader a worker process and model; what it has met serves the worker's next tasks too."""
+    if not _READER or _READER[0].model.name != model.name:
+        _READER[:] = [Reader(Cutter(Vocabulary.load(path)), model, often)]
+    return _READER[0]
 
 
 def _training(documents: DataFrame, fold: int, held_out: int) -> DataFrame:
@@ -346,13 +416,13 @@ def score_documents(documents: DataFrame, model_path: str | None = None, fold: i
     model = build(cutter, id_counts(words, path))
     unit = F.pmod(F.xxhash64(F.col("i"), F.lit("attention")), F.lit(1 << 30))
     chosen = training.filter(unit < F.lit(int(min(1.0, sample / max(1, ends)) * (1 << 30)))).limit(2 * sample).collect()
-    reader = Reader(cutter, model)
-    train(model, [reader.text(tokens(r["text"]))[0] for r in sorted(chosen, key=lambda r: str(r["i"]))], steps)
+    fitted = Reader(cutter, model, {})
+    train(model, [fitted.text(tokens(r["text"]))[0] for r in sorted(chosen, key=lambda r: str(r["i"]))], steps)
     shared = spark.sparkContext.broadcast((model, frequent))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         model, often = shared.value
-        reader = Reader(Cutter(Vocabulary.load(path)), model)
+        own_reader = reader(model, path, often)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in bounded(batch, size=2 << 20):
@@ -360,11 +430,9 @@ def score_documents(documents: DataFrame, model_path: str | None = None, fold: i
                 classes, shares = [], []
                 for text in part["text"]:
                     own = tokens(text)
-                    c, s = reader.text(own)
+                    c, s, known, rare = own_reader.text(own)
                     classes.append(c)
                     shares.append(s)
-                    known = [often[x] for x in own if x in often]
-                    rare = Counter([x for x in own if x not in often]) if len(known) < len(own) else {}
                     row += 1
                     for k, v in (("uid", row), ("n_tokens", len(own) + 1), ("n_often", len(known)), ("often_sum", math.fsum(known)), ("rare", list(rare)), ("times", list(rare.values()))):
                         out[k].append(v)
