@@ -253,3 +253,38 @@ def test_cli(spark, capsys, tmp_path):
     assert '"id":"2"' in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main(["search", "x", "--limit", "0"])
+
+
+def script(tmp_path, name, body):
+    path = tmp_path / name
+    path.write_text("#!/bin/sh\n" + body)
+    path.chmod(0o755)
+    return str(path)
+
+
+def test_probe_program(spark, tmp_path):
+    good = script(tmp_path, "probe", """echo '{"streams":[{"codec_name":"h264","width":64,"height":48,"avg_frame_rate":"25/1","r_frame_rate":"25/1"}],"format":{"duration":"3.0"}}'\n""")
+    rows = spark.createDataFrame([("a.mkv", "video")], "path string, media_type string")
+    assert media.parse_probe(media.probe(rows, good)).first()["fps"] == 25.0
+    bad = media.probe(rows, script(tmp_path, "broken", "echo no >&2\nexit 3\n")).first()
+    assert bad["payload"] is None and bad["error"].startswith("a.mkv: no")
+    assert media.probe(rows, str(tmp_path / "absent")).first()["error"].startswith("a.mkv")
+
+
+def test_keyframe_sampler(spark, tmp_path):
+    def frames(body, times="[0.0, 1.5]"):
+        run = media.sampler()
+        return run(F.lit("a.mkv"), F.lit(2), F.lit(1), F.lit(times), F.lit(script(tmp_path, "decoder", body))).collect()
+
+    got = frames("printf 'abcdefABCDEF'\n")
+    assert [(r["timestamp_seconds"], bytes(r["rgb24"])) for r in got] == [(0.0, b"abcdef"), (1.5, b"ABCDEF")]
+    for body, said in (("printf 'abcdef'\n", "fewer"), ("printf 'abcdefABCDEFx'\n", "more"), ("printf 'abcdefABCDEF'\nexit 2\n", "failed")):
+        with pytest.raises(Exception, match=said):
+            frames(body)
+
+
+def test_frames_must_fit(spark):
+    kinds = "width int, height int, rgb24 binary"
+    assert media.checked_frames(spark.createDataFrame([(1, 1, bytearray(b"abc"))], kinds)).count() == 1
+    with pytest.raises(Exception, match="three bytes"):
+        media.checked_frames(spark.createDataFrame([(1, 1, bytearray(b"ab"))], kinds)).collect()
