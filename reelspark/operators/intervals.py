@@ -25,13 +25,29 @@ def islands(rows: DataFrame, start: str, end: str, keys: Sequence[str]) -> DataF
     return rows.withColumn("_open", opens).withColumn("_island", F.sum("_open").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("_open")
 
 
+#: Stream time that one task merges at first; a stream of any length is dealt to many.
+BUCKET_US = 3_600_000_000
+
+
+def _unions(seeds: DataFrame, context_us: int, keys: Sequence[str]) -> DataFrame:
+    """keys, _s, _e and best (order and row of the best seed) of each union of expanded seeds.
+
+    Unions are made for each hour of a stream first, then of what these left: merging intervals may be done in any order,
+    and only the unions of a long stream meet in one task, not its hits.
+    """
+    columns = [c for c in seeds.columns if c not in keys]
+    own = _expanded(seeds, context_us).withColumn("_b", F.floor(F.col("timestamp_us") / BUCKET_US))
+    own = own.withColumn("best", F.struct(F.struct(*_sortable(anchor_order())).alias("order"), F.struct(*columns).alias("row")))
+    for near in ([*keys, "_b"], [*keys]):
+        own = islands(own, "_s", "_e", near).groupBy(*near, "_island")
+        own = own.agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.min_by("best", F.col("best.order")).alias("best")).drop("_island")
+    return own
+
+
 def neighborhoods(seeds: DataFrame, context_seconds: float, keys: Sequence[str] = STREAM) -> DataFrame:
     """Logical neighbourhoods of any length: keys, start_us, end_us and the best seed as anchor."""
-    own = islands(_expanded(seeds, duration_microseconds(context_seconds)), "_s", "_e", keys)
-    columns = [c for c in seeds.columns if c not in keys]
-    order = _sortable(anchor_order())
-    best = F.min_by(F.struct(*columns), F.struct(*order))
-    return own.groupBy(*keys, "_island").agg(F.min("_s").alias("start_us"), F.max("_e").alias("end_us"), best.alias("anchor")).drop("_island")
+    own = _unions(seeds, duration_microseconds(context_seconds), keys)
+    return own.select(*keys, F.col("_s").alias("start_us"), F.col("_e").alias("end_us"), F.col("best.row").alias("anchor"))
 
 
 def _sortable(order: Sequence[Column]) -> list[Column]:
@@ -42,8 +58,7 @@ def _sortable(order: Sequence[Column]) -> list[Column]:
 def windows(seeds: DataFrame, context_seconds: float, max_seconds: float, keys: Sequence[str] = STREAM) -> DataFrame:
     """Bounded windows: the same unions cut into pieces of at most so many seconds, each a microsecond after the last."""
     longest = duration_microseconds(max_seconds)
-    own = islands(_expanded(seeds, duration_microseconds(context_seconds)), "_s", "_e", keys)
-    whole = own.groupBy(*keys, "_island").agg(F.min("_s").alias("s"), F.max("_e").alias("e"))
+    whole = _unions(seeds, duration_microseconds(context_seconds), keys).select(*keys, F.col("_s").alias("s"), F.col("_e").alias("e"))
     pieces = whole.select(*keys, "e", F.explode(F.sequence("s", "e", F.lit(longest + 1))).alias("start_us"))
     return pieces.select(*keys, "start_us", F.least(F.col("start_us") + longest, F.col("e")).alias("end_us"))
 
