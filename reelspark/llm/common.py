@@ -134,16 +134,17 @@ def bounded(batch: dict, key: str = "text", size: int = 8 << 20) -> Iterator[dic
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, so that lost executors lose no work. Only where the session names none (tests) one is made."""
-    spark = df.sparkSession
-    checkpoint_folder(spark)
-    return df.checkpoint(eager=True)
+    """df cut off from what made it: a table in the shared checkpoint folder, so that lost executors lose no work.
+
+    A table rather than checkpoint(), because a checkpoint keeps the constraints of its plan, which grow without bound in loops.
+    """
+    return written(df, "cut")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared checkpoint folder: smaller than a checkpoint, columns are pruned when read."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder; of narrow rows, where their number is known, in files of fitting size."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(8, -(-rows // FILE_ROWS)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -161,36 +162,52 @@ def remainder(column: Column, n: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % F.lit(n)
 
 
+#: Most rows of a few numbers each that are broadcast; checked by counting. Beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+#: Rows of such tables that a file should hold, about.
+FILE_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has few of them."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges(a long, b long): a row (id, component) for each id that has an edge, component the smallest id.
 
-    Each round every node goes over to the neighbour (or itself) that is smallest in an order drawn anew by hashing, and
-    edges are drawn between what remains: the count of nodes falls by a constant factor whatever the shape. Sums and
-    minima are partly made before the shuffle; a node with very many edges meets one row in each join, which adaptive
-    execution splits. Nothing but the count of edges comes to the driver.
+    Each round every node goes over to the neighbour (or itself) that comes first, and edges are drawn between what
+    remains. First is the least id in the first round, which settles stars around a least id at once, later the least of
+    a hash drawn anew, so that the count of nodes falls by a constant factor whatever the shape. Minima are partly made
+    before the shuffle; where the nodes are few (counted) they are broadcast, else joined by shuffle, and a node with very
+    many edges meets one row there, which adaptive execution splits. Nothing but counts comes to the driver.
     """
     edges = checkpointed(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    home = None
+    home, left = None, edges.count()
     for turn in range(rounds):
-        if edges.isEmpty():
+        if not left:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        order = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), c.alias("n"))
+        order = lambda c: F.struct((F.xxhash64(F.lit(turn), c) if turn else F.lit(0)).alias("h"), c.alias("n"))
         step = both.groupBy(F.col("a").alias("id")).agg(F.min(order(F.col("b"))).alias("m")).select("id", F.least(F.col("m"), order(F.col("id"))).getField("n").alias("to"))
-        step = checkpointed(step)
+        step = written(step, "step", 2 * left)
+        near = small(step)
         home = step if home is None else checkpointed(
-            home.join(step.withColumnRenamed("id", "k").withColumnRenamed("to", "t"), F.col("to") == F.col("k"), "left").select("id", F.coalesce("t", "to").alias("to"))
+            home.join(near.withColumnRenamed("id", "k").withColumnRenamed("to", "t"), F.col("to") == F.col("k"), "left").select("id", F.coalesce("t", "to").alias("to"))
         )
-        x, y = step.select(F.col("id").alias("a"), F.col("to").alias("ta")), step.select(F.col("id").alias("b"), F.col("to").alias("tb"))
-        edges = checkpointed(
-            edges.join(x, "a").join(y, "b").filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
+        x, y = near.select(F.col("id").alias("a"), F.col("to").alias("ta")), near.select(F.col("id").alias("b"), F.col("to").alias("tb"))
+        edges = written(
+            edges.join(x, "a").join(y, "b").filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges", left
         )
+        left = edges.count()
+        if not left and not turn:
+            return home.select("id", F.col("to").alias("component"))
     else:
         raise RuntimeError("components did not settle")
     if home is None:
         return edges.select(F.col("a").alias("id"), F.col("a").alias("component"))
-    least = home.groupBy("to").agg(F.min("id").alias("component"))
-    return checkpointed(home.join(least, "to").select("id", "component"))
+    least = checkpointed(home.groupBy("to").agg(F.min("id").alias("component")))
+    return checkpointed(home.join(small(least), "to").select("id", "component"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -7,10 +7,11 @@ probability J_P, their probability Jaccard similarity (the plain Jaccard similar
 grouped into bands; documents that agree in a band are candidates, and the exact J_P of their texts decides (>= 0.8).
 
 Groups of any size: documents with equal shingle multisets are one node from the start. In each bucket of a band first
-only the least document meets the others; where the members of a bucket are not yet one component, a share of them that grows
-fourfold each round meets those of other components, until all have. So a group of m copies costs about m pairs, and no
-pair of different components that share a band is left out: the only miss is a pair with no band in common, at most 3e-6 for
-J_P = 0.8.
+only the least document meets the others, so a group of m near copies costs about m pairs. In buckets of up to SMALL documents that are
+not one component by then, pairs of different components meet. Larger ones hold documents that share a passage but
+aren't alike; those documents are put into new buckets by an exact prefix filter over their rare shingles, where the same goes on, more
+documents meeting the others each round, until every bucket is one component or all its pairs were tested. No pair of different components that shares a band is left
+out: the only miss is a pair with no band in common, at most 3e-6 for J_P = 0.8.
 
 Shuffled are band keys (BANDS longs a document) and the texts of documents that share a bucket; ids are broadcast only if their count is
 checked (BROADCAST_IDS), else joined by shuffle.
@@ -22,18 +23,21 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, checkpointed, connected_components, map_texts, mix, shingles, word_hashes
+from .common import bounded, checkpointed, connected_components, map_texts, mix, shingles, small, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
+#: In buckets of so many documents all pairs of different components meet; the number that do grows by this in larger ones.
+SMALL = 32
 #: Most ids that are broadcast (8 MB); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
@@ -141,8 +145,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                     b.append(j)
             yield {"a": a, "b": b}
 
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return map_texts(both, {c: F.col(c) for c in ("a", "b", "text_a", "text_b")}, run, "a long, b long").distinct()
+    both = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).join(small(pairs), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    return map_texts(both, {c: F.col(c) for c in ("a", "b", "text_a", "text_b")}, run, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, least: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -155,14 +159,13 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY, id_column:
     banded = nodes.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = checkpointed(banded.join(buckets, "key"))
-    links = None
-    if not members.isEmpty():
+    edges = copies
+    if not members.isEmpty():  # some bucket has two documents
         met = members.select("id").distinct()
         texts = checkpointed(
             semi(documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).filter(F.col("text").isNotNull()), checkpointed(met), "id")
         )
-        links = _links(members, texts, least)
-    edges = copies if links is None else copies.unionByName(links)
+        edges = copies.unionByName(_links(members, texts, least).select(F.col("id").alias("a"), F.col("component").alias("b")))
     parts = connected_components(edges)
     ids = named_ids(own)
     out = ids.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
@@ -176,29 +179,222 @@ def named_ids(own: DataFrame) -> DataFrame:
     return own.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
+class _Linker:
+    """Pairs that were tested and those that are links; both grow from round to round."""
+
+    def __init__(self, texts: DataFrame, least: float) -> None:
+        self.texts, self.least = texts, least
+        self.tested: DataFrame | None = None
+        self.news: list[DataFrame] = []
+        self.parts: DataFrame | None = None
+
+    def test(self, pairs: DataFrame) -> None:
+        """Verifies those of pairs (a < b, distinct) that weren't yet."""
+        if self.tested is None:
+            self.tested = checkpointed(pairs)
+            self.news.append(checkpointed(verified(self.tested, self.texts, self.least)))
+            return
+        fresh = checkpointed(pairs.join(small(self.tested), ["a", "b"], "left_anti"))
+        self.tested = checkpointed(self.tested.unionByName(fresh))
+        self.news.append(checkpointed(verified(fresh, self.texts, self.least)))
+
+    def components(self) -> DataFrame:
+        """id, component of all linked documents: what was known, joined by the links found since."""
+        for links in self.news:
+            if self.parts is None:
+                self.parts = connected_components(links)
+                continue
+            known = small(self.parts)
+            of = lambda c: known.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part"))  # noqa: B023, E731
+            drawn = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+            drawn = checkpointed(drawn.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")).filter("a <> b"))
+            if drawn.isEmpty():
+                continue
+            joined = checkpointed(connected_components(drawn).withColumnRenamed("id", "k").withColumnRenamed("component", "c"))
+            old = self.parts.join(small(joined), F.col("component") == F.col("k"), "left").select("id", F.coalesce("c", "component").alias("component"))
+            new = joined.select(F.col("k").alias("id"), F.col("c").alias("component")).join(known.select("id"), "id", "left_anti")
+            self.parts = checkpointed(old.unionByName(new))
+        self.news = []
+        return self.parts
+
+    def leaders(self, members: DataFrame) -> None:
+        """The least document of each bucket meets the others."""
+        self.test(members.filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
+
+    def split(self, members: DataFrame) -> DataFrame:
+        """members of those buckets whose documents are not all of one component, with their component as part."""
+        parts = small(self.components())
+        own = [c for c in members.columns if c not in ("id", "leader", "part")]
+        # A document's keys stand together while its component is looked up: one row a document in the join.
+        lists = members.groupBy("id").agg(F.collect_list(F.struct(*own)).alias("keys")).join(parts, "id", "left")
+        placed = lists.select("id", F.coalesce("component", "id").alias("part"), F.inline("keys"))
+        open_keys = checkpointed(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key"))
+        return checkpointed(placed.join(small(open_keys), "key"))
+
+    def meet(self, members: DataFrame, share: int) -> None:
+        """About so many documents of each split bucket, all if it has no more, meet those of other components."""
+        unit = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        bound = [c for c in ("r", "total", "common") if c in members.columns]
+        chosen = checkpointed(members.filter(unit * F.col("n") < share).select("key", F.col("id").alias("x"), F.col("part").alias("px"), *[F.col(c).alias(f"{c}_x") for c in bound]))
+        both = members.join(small(chosen), "key").filter(F.col("part") != F.col("px"))
+        both = both.filter(_may_match(self.least, "_x")) if bound else both
+        self.test(both.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct())
+
+
 def _links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Verified pairs that make up the components of members(key, id, leader, n), in rounds."""
-    pairs = checkpointed(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-    tested, links = pairs, checkpointed(verified(pairs, texts, least))
-    left = members.filter("n > 2")
-    share = 1
+    """id, component of the documents of members(key, id, leader, n) that are linked."""
+    linker = _Linker(texts, least)
+    linker.leaders(members)
+    left = linker.split(members.filter("n > 2"))
+    if left.isEmpty():
+        return linker.components()
+    linker.meet(left.filter(F.col("n") <= SMALL), SMALL)
+    left = linker.split(left.filter(F.col("n") > SMALL))
+    if left.isEmpty():
+        return linker.components()
+    # Large buckets of documents that mostly aren't alike: they share a passage. Only their rare shingles tell them apart.
+    rare = _rare_buckets(semi(texts, left.select("id").distinct(), "id"), least)
+    linker.leaders(rare)
+    left, share = rare.filter("n > 2"), 1
     while True:
-        # Buckets of up to `share` documents have had all their pairs tested.
-        left = left.filter(F.col("n") > share)
-        parts = connected_components(links)
-        placed = left.select("key", "id", "n").join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("part"))
-        split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-        left = checkpointed(placed.join(split, "key"))
+        left = linker.split(left.filter(F.col("n") > share))
         if left.isEmpty():
-            return links
-        share *= 4
-        unit = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-        leaders = left.filter(unit * F.col("n") < share).select("key", F.col("id").alias("x"), F.col("part").alias("px"))
-        fresh = left.join(leaders, "key").filter("part <> px").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-        ordered = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = checkpointed(fresh.join(ordered, ["a", "b"], "left_anti"))
-        tested = checkpointed(tested.unionByName(pairs))
-        links = checkpointed(links.unionByName(verified(pairs, texts, least)))
+            return linker.components()
+        # Few pairs pass the bound, so many documents of a key can meet at once.
+        share *= SMALL * SMALL
+        linker.meet(left, share)
+
+
+def _may_match(least: float, other: str) -> Column:
+    """Whether two documents of a key of _rare_buckets can be alike enough, by what each can have in common at most."""
+    general = F.col("r") + F.col(f"r{other}") <= 1 / least - 1 + 1e-9
+    even = F.least("common", f"common{other}") * (1 + least) >= least * (F.col("total") + F.col(f"total{other}")) - 1e-6
+    return general & F.coalesce(even, F.lit(True))
+
+
+#: Shingles counted together, and the most common ones that are told apart: bounds of the order by rarity, not of what is found.
+CHUNK, COMMON = 1_000_000, 500_000
+
+
+def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of the texts share, sorted, and about how often: at most COMMON, the most frequent ones.
+
+    Only the order in which shingles are tried depends on this; any fixed order finds the same pairs.
+    """
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def counted() -> dict:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            keys, n = keys[n > 1], n[n > 1]
+            return {"key": keys.view(np.int64).tolist(), "n": n.tolist()}
+
+        for batch in batches:
+            for text in batch["text"]:
+                held.append(weighted(text)[0])
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+
+    found = map_texts(texts, {"text": F.col("text")}, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 2")
+    rows = found.orderBy(F.col("n").desc(), "key").limit(COMMON).collect()
+    keys, n = np.array([r["key"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+#: Buckets of the map of shingles that more than one text has.
+MAP_BITS = 23
+
+
+def _shared_map(texts: DataFrame) -> np.ndarray:
+    """For each bucket of shingles whether two of the texts or more have one of it: no shared shingle is missed.
+
+    Each task makes a map of fixed size, one task joins them. Where there are very many texts the map fills up, and then
+    spares less work; results don't depend on it.
+    """
+    size = 1 << MAP_BITS
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        seen = None
+        for batch in batches:
+            seen = np.zeros(size, dtype=np.uint8) if seen is None else seen
+            for text in batch["text"]:
+                at = _bucket(weighted(text)[0])
+                seen[at] = np.minimum(seen[at] + 1, 2)
+        if seen is not None:
+            yield {"one": [zlib.compress(np.packbits(seen > 0).tobytes(), 1)], "two": [zlib.compress(np.packbits(seen > 1).tobytes(), 1)]}
+
+    def join(batches: Iterator[dict]) -> Iterator[dict]:
+        one, two = np.zeros(size // 8, dtype=np.uint8), np.zeros(size // 8, dtype=np.uint8)
+        for batch in batches:
+            for x, y in zip(batch["one"], batch["two"], strict=True):
+                a = np.frombuffer(zlib.decompress(x), dtype=np.uint8)
+                two |= np.frombuffer(zlib.decompress(y), dtype=np.uint8) | (one & a)
+                one |= a
+        yield {"two": [two.tobytes()]}
+
+    maps = map_texts(texts, {"text": F.col("text")}, run, "one binary, two binary")
+    row = map_texts(maps.repartition(1), {"one": F.col("one"), "two": F.col("two")}, join, "two binary").first()
+    return np.unpackbits(np.frombuffer(row["two"], dtype=np.uint8)).astype(bool) if row else np.zeros(size, dtype=bool)
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> _U(64 - MAP_BITS)).astype(np.intp)
+
+
+def _rare_buckets(texts: DataFrame, least: float) -> DataFrame:
+    """members(key, id, leader, n, r) by an exact prefix filter: every pair of texts(id, text) that is alike enough shares a key.
+
+    If s and t are the shares of their weight that two documents have in common shingles, J_P is at most
+    1 / (1 + (1 - s) / s + (1 - t) / t): the sum over common x of 1 / sum over y of max(a(y)/a(x), b(y)/b(x)) is least where
+    the maximum is replaced by any mean of the two, and what is left is concave. So for J_P >= least both 1 - s and 1 - t
+    are at most 1 - least, and in any fixed order of all shingles the first common one comes within the first
+    1 - least of the weight of both; what stands before it is not common, so with r = before / (1 - before) the sum of both r is at
+    most 1 / least - 1. Where no shingle repeats in either, J_P is k / (m + n - k) for k common ones of m and n, so what may be
+    common in either bounds it more closely (null in common means that some shingle repeats). The order is by rarity: what many
+    documents share comes last and makes few keys. The leader of a key is the document with the least r.
+    """
+
+    shared = np.packbits(_shared_map(texts))
+    common = texts.sparkSession.sparkContext.broadcast((*_common_shingles(texts), shared))
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        known, often, bits = common.value
+        shared = np.unpackbits(bits).astype(bool)
+        for batch in batches:
+            out: dict[str, list] = {"id": batch["id"], "total": [], "flat": [], "keys": [], "before": []}
+            for text in batch["text"]:
+                hashes, counts = weighted(text)
+                total = int(counts.sum())
+                rank = np.zeros(len(hashes), dtype=np.int64)
+                if len(known) and len(hashes):
+                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    rank = np.where(known[at] == hashes, often[at], 0)
+                order = np.lexsort((hashes, rank))
+                before = (np.cumsum(counts[order]) - counts[order]) / max(total, 1)
+                head = (before <= 1 - least + 1e-9) & shared[_bucket(hashes[order])]
+                out["total"].append(total)
+                out["flat"].append(bool(total == len(hashes)))
+                out["keys"].append(hashes[order][head].view(np.int64).tolist())
+                out["before"].append(before[head].tolist())
+            yield out
+
+    own = map_texts(texts, {"id": F.col("id"), "text": F.col("text")}, run, "id long, total long, flat boolean, keys array<long>, before array<double>")
+    head = own.select("id", "total", "flat", F.explode(F.arrays_zip("keys", "before")).alias("k"))
+    before = F.col("k.before")
+    head = checkpointed(head.select(F.col("k.keys").alias("key"), "id", (before / (1 - before)).alias("r"), "total", F.when(F.col("flat"), F.col("total") * (1 - before)).alias("common")))
+    first = F.min(F.struct("r", "id", "total", "common")).alias("first")
+    groups = head.groupBy("key").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups = checkpointed(groups.select("key", "n", F.col("first.id").alias("leader"), *[F.col(f"first.{c}").alias(f"{c}_l") for c in ("r", "total", "common")]))
+    near = head.join(small(groups), "key")
+    # The leader has the least r: a document that can't match it by r matches nobody of its key.
+    return checkpointed(near.filter(F.col("r") + F.col("r_l") <= 1 / least - 1 + 1e-9).drop("r_l", "total_l", "common_l"))
 
 
 def keep_one(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
