@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from reelspark.llm import decontaminate, langid, minhash, pii, piece_viterbi
-from reelspark.llm.common import written
+from reelspark.llm.common import small_batches, written
 
 
 def _mapped(docs: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
@@ -25,6 +25,7 @@ def _mapped(docs: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch])
         for batch in batches:
             yield change(batch)
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

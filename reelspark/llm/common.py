@@ -103,6 +103,17 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+#: Rows of an Arrow batch; so a batch of long texts fits a worker, and the JVM's buffers stay small.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows, where they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "0")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_texts(df: DataFrame, columns: dict[str, Column], fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
     """Only the named columns of df, mapped batch by batch: fn gets an iterator of {name: list} and yields dicts of lists.
 
@@ -112,6 +123,7 @@ def map_texts(df: DataFrame, columns: dict[str, Column], fn: Callable[[Iterator[
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out_schema = StructType.fromDDL(schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(out_schema)

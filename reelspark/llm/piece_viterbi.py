@@ -16,6 +16,7 @@ rows are answered each; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import bounded, map_texts
 from .vocabulary import BYTE, CONTROL, SPACE, UNKNOWN, Vocabulary, default_path
 
+#: Words whose ids a worker keeps from one part to the next; it bounds memory (about 30 MB), not results.
+KEPT_WORDS, KEPT_LENGTH = 150_000, 24
 #: What an unknown character scores below the lowest piece, fixed value.
 UNKNOWN_PENALTY = 10.0
 
@@ -48,6 +51,7 @@ class PieceCoder:
         self.surface = ["" if k == CONTROL else " ⁇ " if k == UNKNOWN else p.replace(SPACE, " ") for p, k in zip(vocabulary.pieces, vocabulary.kinds, strict=True)]
         self.byte = {i: int(vocabulary.pieces[i][3:5], 16) for i, k in enumerate(vocabulary.kinds) if k == BYTE}
         self.bytes_sorted = np.array(sorted(self.byte), dtype=np.int64)
+        self.kept: dict[str, bytes] = {}
 
     def _unknown(self, c: str) -> list[int]:
         ids = self.vocabulary.byte_ids
@@ -106,7 +110,13 @@ class PieceCoder:
         """Ids of each whole text."""
         split, mark = self.vocabulary.splitter.findall, self.vocabulary.mark
         words = [split(mark(t)) if t else [] for t in texts]
-        table = self.encode_words(sorted(set().union(*words)))
+        distinct, kept = set().union(*words), self.kept
+        table = {w: kept[w] for w in distinct if w in kept}
+        new = self.encode_words(sorted(distinct.difference(table)))
+        if len(kept) + len(new) > KEPT_WORDS:
+            kept.clear()
+        kept.update((w, x) for w, x in itertools.islice(new.items(), KEPT_WORDS) if len(w) <= KEPT_LENGTH)
+        table.update(new)
         return [None if t is None else np.frombuffer(b"".join(map(table.__getitem__, w)), dtype=self.kind) for t, w in zip(texts, words, strict=True)]
 
     def decode(self, ids: np.ndarray | None) -> str | None:
@@ -147,7 +157,7 @@ def encode_documents(documents: DataFrame, model_path: str | None = None, id_col
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         own = coder(path)
         for batch in batches:
-            for part in bounded(batch):
+            for part in bounded(batch, size=2 << 20):
                 ids = own.encode(part["text"])
                 decoded = [own.decode(x) for x in ids]
                 sizes = np.array([0 if x is None else len(x) for x in ids], dtype=np.int64)
