@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,11 +35,11 @@ from .common import bounded, map_texts, remainder, written
 from .vocabulary import SPACE, Vocabulary, default_path
 
 #: At most so many words are broadcast, those of a FREQUENT-th of all tokens or more, and of at most WORD_BYTES bytes.
-FREQUENT = 1_000_000
+FREQUENT = 2_000_000
 WORD_BYTES = 64
-HEAD = 96
-WIDTH, HIDDEN = 16, 32
-CONTEXT, STRIDE = 32, 16
+HEAD = 64
+WIDTH, HIDDEN = 12, 24
+CONTEXT, STRIDE = 24, 16
 #: Bounds of the training sample.
 SAMPLE_DOCUMENTS, STEPS, BATCH = 800, 400, 192
 #: Words whose ids a worker keeps in each of two generations; it bounds memory, not results.
@@ -329,19 +329,19 @@ class Reader:
             self.young[word] = own
         return own
 
-    def text(self, words: list[bytes]) -> tuple[np.ndarray, float, list[float], Counter]:
+    def text(self, words: list[bytes]) -> tuple[np.ndarray, float, Sequence[float], Counter]:
         """Classes with the end, sum of shares, log10 counts of the frequent words, and the other words with how often they occur."""
-        get, word = self.young.get, self.word
-        found = []
-        for x in words:
-            own = get(x)
-            if own is None:
-                own = word(x)
-                get = self.young.get
-            found.append(own)
-        counts = [f[2] for f in found if f[2] is not None]
-        rare = Counter([x for x, f in zip(words, found, strict=True) if f[2] is None]) if len(counts) < len(words) else Counter()
-        return np.frombuffer(b"".join([f[0] for f in found]) + self.end, dtype=np.uint8), sum([f[1] for f in found]), counts, rare
+        if not words:
+            return np.frombuffer(self.end, dtype=np.uint8), 0.0, [], Counter()
+        found = list(map(self.young.get, words))
+        if None in found:
+            for i, own in enumerate(found):
+                if own is None:
+                    found[i] = self.young.get(words[i]) or self.word(words[i])
+        classes, shares, logs = zip(*found, strict=True)
+        rare = Counter([x for x, c in zip(words, logs, strict=True) if c is None]) if None in logs else Counter()
+        counts = [c for c in logs if c is not None] if rare else logs
+        return np.frombuffer(b"".join(classes) + self.end, dtype=np.uint8), sum(shares), counts, rare
 
 
 _READER: list[Reader] = []
