@@ -4,8 +4,9 @@ Base scores follow word counts over all training documents: counted by task, sum
 up a FREQUENT-th of the corpus or more (so FREQUENT words at most) are broadcast; the other words of each document are
 joined with the counts by shuffle.
 
-The model reads subword ids: each word, marked, is cut into the longest pieces of a public vocabulary. Its output is a
-distribution over HEAD classes: the most frequent ids over the whole corpus, the end of the text, and one class for the rest, within
+The model reads subword ids: each word, marked, is cut into the longest pieces of a public vocabulary, and every id has an embedding
+of its own. Ids are told as symbols: in order of corpus count, with the end at HEAD - 2, so that a symbol's class is the lesser of it and HEAD - 1. The
+output is a distribution over HEAD classes: the most frequent ids over the whole corpus, the end of the text, and one class for the rest, within
 which an id has its share of the corpus count (plus one). Class and id together give a probability for every id, and they sum to one.
 A text is read in windows of CONTEXT ids that advance by STRIDE: each id is scored exactly once, with CONTEXT - STRIDE ids before it or
 more, by masked attention over a batch of windows.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -37,14 +39,13 @@ from .vocabulary import SPACE, Vocabulary, default_path
 #: At most so many words are broadcast, those of a FREQUENT-th of all tokens or more, and of at most WORD_BYTES bytes.
 FREQUENT = 2_000_000
 WORD_BYTES = 64
-HEAD = 64
-WIDTH, HIDDEN = 12, 24
-CONTEXT, STRIDE = 24, 16
+HEAD = 128
+WIDTH, HIDDEN = 16, 32
+CONTEXT, STRIDE = 32, 16
 #: Bounds of the training sample.
 SAMPLE_DOCUMENTS, STEPS, BATCH = 800, 400, 192
 #: Words whose ids a worker keeps in each of two generations; it bounds memory, not results.
 KEPT_WORDS = 250_000
-_START = HEAD  # an embedding of its own, never predicted
 _LOG10 = math.log(10.0)
 
 
@@ -96,28 +97,28 @@ class Cutter:
 
 @dataclass
 class Model:
-    """Classes of ids, log10 shares within the class of the rest, and the weights of the network."""
+    """Symbols of ids, log10 shares within the class of the rest, and the weights of the network. The last embedding is that of the start, never predicted."""
 
-    class_of: np.ndarray  # of each id and, last, of the end
+    symbol_of: np.ndarray  # of each id and, last, of the end
     share: np.ndarray  # log10, 0 for ids with a class of their own
     weights: dict[str, np.ndarray]
     name: str = ""
 
-    def windows(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs (n, CONTEXT), targets (n, STRIDE) and which targets are real, of one text's classes."""
-        n = -(-len(classes) // STRIDE)
+    def windows(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs (n, CONTEXT), target classes (n, STRIDE) and which targets are real, of one text's symbols."""
+        n = -(-len(symbols) // STRIDE)
         padded = np.full(n * STRIDE + CONTEXT - STRIDE, -1, dtype=np.int64)
         head = CONTEXT - STRIDE
-        padded[head] = _START
-        padded[head + 1 : head + len(classes)] = classes[:-1]
+        padded[head] = len(self.weights["E"]) - 1
+        padded[head + 1 : head + len(symbols)] = symbols[:-1]
         inputs = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[::STRIDE]
         targets = np.full(n * STRIDE, -1, dtype=np.int64)
-        targets[: len(classes)] = classes
+        targets[: len(symbols)] = np.minimum(symbols, HEAD - 1)
         targets = targets.reshape(n, STRIDE)
         return inputs, targets, targets >= 0
 
 
-def fresh_weights(unigram: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
+def fresh_weights(unigram: np.ndarray, symbols: int = HEAD, seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
 
     def normal(*shape: int, scale: float) -> np.ndarray:
@@ -125,7 +126,7 @@ def fresh_weights(unigram: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
 
     s = WIDTH**-0.5
     return {
-        "E": normal(HEAD + 1, WIDTH, scale=0.5), "P": normal(CONTEXT, WIDTH, scale=0.1),
+        "E": normal(symbols + 1, WIDTH, scale=0.5), "P": normal(CONTEXT, WIDTH, scale=0.1),
         "Wq": normal(WIDTH, WIDTH, scale=s), "Wk": normal(WIDTH, WIDTH, scale=s), "Wv": normal(WIDTH, WIDTH, scale=s), "Wo": normal(WIDTH, WIDTH, scale=s),
         "W1": normal(WIDTH, HIDDEN, scale=s), "b1": np.zeros(HIDDEN, np.float32), "W2": normal(HIDDEN, WIDTH, scale=HIDDEN**-0.5),
         "U": np.zeros((WIDTH, HEAD), np.float32), "b": unigram.astype(np.float32),
@@ -201,6 +202,14 @@ class Scorer:
 
 def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean cross entropy over the real targets, and its gradients."""
+    loss, d, rows = sparse_gradients(w, inputs, targets, real)
+    own = np.zeros_like(w["E"])
+    own[rows] = d["E"]
+    return loss, d | {"E": own}
+
+
+def sparse_gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+    """The same, with E's gradients only of the embeddings that are read, and which those are."""
     logits, s = forward(w, inputs, keep=True)
     n, mask, t = len(inputs), real.ravel(), np.maximum(targets.ravel(), 0)
     logits -= logits.max(axis=1, keepdims=True)
@@ -232,9 +241,10 @@ def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     dx[:, CONTEXT - STRIDE :] += (dqf @ w["Wq"].T * scale + dh).reshape(n, STRIDE, WIDTH)
     dx[inputs < 0] = 0
     d["P"] = dx.sum(axis=0)
-    d["E"] = np.zeros_like(w["E"])
-    np.add.at(d["E"], np.maximum(inputs, 0).ravel(), dx.reshape(-1, WIDTH))
-    return loss, d
+    order = np.argsort(np.maximum(inputs, 0), axis=None, kind="stable")
+    rows, begins = np.unique(np.maximum(inputs, 0).ravel()[order], return_index=True)
+    d["E"] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], begins, axis=0)
+    return loss, d, rows
 
 
 def train(model: Model, texts: list[np.ndarray], steps: int = STEPS, batch: int = BATCH, rate: float = 0.01, seed: int = 11) -> list[float]:
@@ -244,23 +254,37 @@ def train(model: Model, texts: list[np.ndarray], steps: int = STEPS, batch: int
         return []
     inputs, targets, real = (np.concatenate(x) for x in zip(*parts, strict=True))
     rng = np.random.default_rng(seed)
-    w, losses = model.weights, []
-    m = {k: np.zeros_like(v) for k, v in w.items()}
-    s = {k: np.zeros_like(v) for k, v in w.items()}
+    adam, losses = Adam(model.weights), []
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(inputs), min(batch, len(inputs)))
-        loss, d = gradients(w, inputs[pick], targets[pick], real[pick])
-        losses.append(loss)
-        pace = rate * min(1.0, step / 20) * (0.1 + 0.9 * (1 - step / steps))
-        for k, g in d.items():
-            m[k] += 0.1 * (g - m[k])
-            s[k] += 0.01 * (g * g - s[k])
-            w[k] -= (pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        losses.append(adam.step(inputs[pick], targets[pick], real[pick], rate * min(1.0, step / 20) * (0.1 + 0.9 * (1 - step / steps))))
     return losses
 
 
+class Adam:
+    """Steps that change the weights in place; an embedding changes only in steps that read it."""
+
+    def __init__(self, weights: dict[str, np.ndarray]) -> None:
+        self.w = weights
+        self.m = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.s = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.n = 0
+
+    def step(self, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, pace: float) -> float:
+        loss, d, rows = sparse_gradients(self.w, inputs, targets, real)
+        self.n += 1
+        for k, g in d.items():
+            at = rows if k == "E" else slice(None)
+            m, s = self.m[k][at], self.s[k][at]
+            m = m + 0.1 * (g - m)
+            s = s + 0.01 * (g * g - s)
+            self.m[k][at], self.s[k][at] = m, s
+            self.w[k][at] -= (pace * (m / (1 - 0.9**self.n)) / (np.sqrt(s / (1 - 0.99**self.n)) + 1e-8)).astype(np.float32)
+        return loss
+
+
 def log10_probabilities(model: Model, texts: list[np.ndarray], size: int = 256) -> np.ndarray:
-    """Of each text's classes the sum of log10 probabilities, in batches of windows of all texts together."""
+    """Of each text's symbols the sum of log10 probabilities, in batches of windows of all texts together."""
     if not texts:
         return np.zeros(0)
     counts = np.array([-(-len(t) // STRIDE) for t in texts])
@@ -272,9 +296,9 @@ def log10_probabilities(model: Model, texts: list[np.ndarray], size: int = 256)
     goal = np.full(int(begins[-1]) * STRIDE, -1, dtype=np.int64)
     for i, t in enumerate(texts):
         at = int(begins[i]) * STRIDE + i * head + head
-        line[at] = _START
+        line[at] = len(model.weights["E"]) - 1
         line[at + 1 : at + len(t)] = t[:-1]
-        goal[int(begins[i]) * STRIDE : int(begins[i]) * STRIDE + len(t)] = t
+        goal[int(begins[i]) * STRIDE : int(begins[i]) * STRIDE + len(t)] = np.minimum(t, HEAD - 1)
     owner = np.repeat(np.arange(len(texts)), counts)
     first = np.arange(int(begins[-1])) * STRIDE + owner * head
     view = np.lib.stride_tricks.sliding_window_view(line, CONTEXT)
@@ -295,34 +319,34 @@ def log10_probabilities(model: Model, texts: list[np.ndarray], size: int = 256)
 
 
 def build(cutter: Cutter, counts: np.ndarray) -> Model:
-    """Classes and shares from corpus counts of the ids (last: the end), and untrained weights."""
+    """Symbols and shares from corpus counts of the ids (last: the end), and untrained weights."""
     order = np.argsort(-counts[:-1], kind="stable")
-    class_of = np.full(len(counts), HEAD - 1, dtype=np.uint8)
-    class_of[order[: HEAD - 2]] = np.arange(HEAD - 2, dtype=np.uint8)
-    class_of[-1] = HEAD - 2
+    symbol_of = np.full(len(counts), HEAD - 2, dtype=np.uint16)
+    symbol_of[order] = np.delete(np.arange(len(order) + 1), HEAD - 2)[: len(order)]
+    class_of = np.minimum(symbol_of, HEAD - 1)
     rest = class_of == HEAD - 1
     mass = counts[rest] + 1.0
     share = np.zeros(len(counts))
     share[rest] = np.log10(mass / mass.sum()) if rest.any() else 0.0
     by_class = np.bincount(class_of, weights=counts, minlength=HEAD) + 1.0
-    return Model(class_of, share, fresh_weights(np.log(by_class / by_class.sum())), uuid.uuid4().hex)
+    return Model(symbol_of, share, fresh_weights(np.log(by_class / by_class.sum()), max(len(counts), HEAD)), uuid.uuid4().hex)
 
 
 class Reader:
-    """Of words: their classes, the share of their ids in the class of the rest, and log10 of their count if they are frequent. Keeps what it has met."""
+    """Of words: their symbols, the share of their ids in the class of the rest, and log10 of their count if they are frequent. Keeps what it has met."""
 
     def __init__(self, cutter: Cutter, model: Model, often: dict[bytes, float]) -> None:
         self.cutter, self.model, self.often = cutter, model, often
-        self.classes, self.shares = model.class_of.tolist(), model.share.tolist()
-        self.end = bytes([self.classes[-1]])
+        self.symbols, self.shares = model.symbol_of.tolist(), model.share.tolist()
+        self.end = model.symbol_of[-1:].tobytes()
         self.young: dict[bytes, tuple[bytes, float, float | None]] = {}
         self.old: dict[bytes, tuple[bytes, float, float | None]] = {}
 
     def word(self, word: bytes) -> tuple[bytes, float, float | None]:
         own = self.old.get(word)
         if own is None:
-            ids, classes, shares = self.cutter.word(word), self.classes, self.shares
-            own = bytes([classes[i] for i in ids]), sum([shares[i] for i in ids]), self.often.get(word)
+            ids, symbols, shares = self.cutter.word(word), self.symbols, self.shares
+            own = array("H", [symbols[i] for i in ids]).tobytes(), sum([shares[i] for i in ids]), self.often.get(word)
         if len(word) <= WORD_BYTES:
             if len(self.young) >= KEPT_WORDS:
                 self.young, self.old = {}, self.young
@@ -330,18 +354,18 @@ class Reader:
         return own
 
     def text(self, words: list[bytes]) -> tuple[np.ndarray, float, Sequence[float], Counter]:
-        """Classes with the end, sum of shares, log10 counts of the frequent words, and the other words with how often they occur."""
+        """Symbols with the end, sum of shares, log10 counts of the frequent words, and the other words with how often they occur."""
         if not words:
-            return np.frombuffer(self.end, dtype=np.uint8), 0.0, [], Counter()
+            return np.frombuffer(self.end, dtype=np.uint16), 0.0, [], Counter()
         found = list(map(self.young.get, words))
         if None in found:
             for i, own in enumerate(found):
                 if own is None:
                     found[i] = self.young.get(words[i]) or self.word(words[i])
-        classes, shares, logs = zip(*found, strict=True)
+        symbols, shares, logs = zip(*found, strict=True)
         rare = Counter([x for x, c in zip(words, logs, strict=True) if c is None]) if None in logs else Counter()
         counts = [c for c in logs if c is not None] if rare else logs
-        return np.frombuffer(b"".join(classes) + self.end, dtype=np.uint8), sum(shares), counts, rare
+        return np.frombuffer(b"".join(symbols) + self.end, dtype=np.uint16), sum(shares), counts, rare
 
 
 _READER: list[Reader] = []
@@ -427,16 +451,16 @@ def score_documents(documents: DataFrame, model_path: str | None = None, fold: i
         for batch in batches:
             for part in bounded(batch, size=2 << 20):
                 out: dict[str, list] = {k: [] for k in ("uid", "n_tokens", "n_often", "often_sum", "rare", "times")}
-                classes, shares = [], []
+                symbols, shares = [], []
                 for text in part["text"]:
                     own = tokens(text)
                     c, s, known, rare = own_reader.text(own)
-                    classes.append(c)
+                    symbols.append(c)
                     shares.append(s)
                     row += 1
                     for k, v in (("uid", row), ("n_tokens", len(own) + 1), ("n_often", len(known)), ("often_sum", math.fsum(known)), ("rare", list(rare)), ("times", list(rare.values()))):
                         out[k].append(v)
-                score = log10_probabilities(model, classes) + np.array(shares)
+                score = log10_probabilities(model, symbols) + np.array(shares)
                 yield out | {"doc_id": part["doc_id"], "held_out": part["held_out"], "score": score.tolist()}
 
     own = F.col("doc_id")

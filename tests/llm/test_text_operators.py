@@ -287,6 +287,18 @@ def test_training_learns():
     assert losses[0] > 4 and losses[-1] < 0.3
 
 
+def test_every_id_is_told_apart():
+    rng = np.random.default_rng(2)
+    counts = np.arange(400, 0, -1).astype(float)
+    model = lm.build(None, counts)
+    assert sorted(model.symbol_of.tolist()) == list(range(400)) and model.symbol_of[-1] == lm.HEAD - 2
+    model.weights["U"] += rng.normal(0, 1, model.weights["U"].shape).astype(np.float32)
+    # Two contexts that differ only in ids beyond the classes of their own.
+    a, b = model.symbol_of[[1, 300, 5, -1]], model.symbol_of[[1, 301, 5, -1]]
+    got = lm.log10_probabilities(model, [a, b])
+    assert abs(got[0] - got[1]) > 1e-4
+
+
 def test_longest_pieces():
     vocabulary = Vocabulary.load(default_path())
     cutter, rng = lm.Cutter(vocabulary), random.Random(0)
