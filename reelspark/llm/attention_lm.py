@@ -11,8 +11,10 @@ which an id has its share of the corpus count (plus one). Class and id together
 A text is read in windows of CONTEXT ids that advance by STRIDE: each id is scored exactly once, with CONTEXT - STRIDE ids before it or
 more, by masked attention over a batch of windows.
 
-What comes from where: counts of words and of ids cover all training documents; only the gradient steps read a bounded
-sample of them (SAMPLE_DOCUMENTS, STEPS batches), because training on all would cost several times the scoring itself.
+What comes from where: counts of words and of ids cover all training documents, and so do the gradient steps. A bounded sample
+(SAMPLE_DOCUMENTS, STEPS batches) only gives the weights to start from; then each training document is read in one of ROUNDS rounds, in which every task
+takes steps over its own documents from the same weights, and the weights of all tasks are averaged: an embedding by how often a task read it, the
+others by how many ids it learnt from. Scores therefore depend a little on how the rows are dealt to tasks.
 
 Edge cases: null and empty texts have one token, the end; a null doc_id is never learnt from, counts as not held out and gets its
 scores; repeated rows are scored each; with no training documents counts are 0 and the model is uniform over its classes; an
@@ -26,7 +28,7 @@ import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark import TaskContext
@@ -42,8 +44,10 @@ WORD_BYTES = 64
 HEAD = 128
 WIDTH, HIDDEN = 16, 32
 CONTEXT, STRIDE = 32, 16
-#: Bounds of the training sample.
+#: Bounds of the sample that the weights to start from are fitted to; windows a step.
 SAMPLE_DOCUMENTS, STEPS, BATCH = 800, 400, 192
+#: Rounds that all training documents are dealt to, and the pace of the first.
+ROUNDS, PACE = 4, 0.004
 #: Words whose ids a worker keeps in each of two generations; it bounds memory, not results.
 KEPT_WORDS = 250_000
 _LOG10 = math.log(10.0)
@@ -283,6 +287,65 @@ class Adam:
         return loss
 
 
+def rows_of(weights: dict[str, np.ndarray]) -> np.ndarray:
+    """All weights as rows of WIDTH numbers: the embeddings, then the others one after another, filled up with zeros."""
+    rest = np.concatenate([v.ravel() for k, v in weights.items() if k != "E"])
+    return np.concatenate([weights["E"], np.pad(rest, (0, -len(rest) % WIDTH)).reshape(-1, WIDTH)])
+
+
+def weights_of(rows: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The opposite of rows_of."""
+    at = len(like["E"])
+    out, rest, begin = {"E": rows[:at].astype(np.float32)}, rows[at:].ravel().astype(np.float32), 0
+    for k, v in like.items():
+        if k != "E":
+            out[k] = rest[begin : begin + v.size].reshape(v.shape).copy()
+            begin += v.size
+    return out
+
+
+def learn(training: DataFrame, shared, path: str, batch: int = BATCH, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Weights after steps over all training documents, from those of the shared model; each round's are averaged by a shuffle."""
+    weights, spark = shared.value[0].weights, training.sparkSession
+    names = [f"w{i}" for i in range(WIDTH)]
+    for turn in range(rounds):
+        given = spark.sparkContext.broadcast(weights)
+        pace = PACE * (1 - turn / rounds)
+
+        def run(batches: Iterator[dict], given=given, pace=pace) -> Iterator[dict]:
+            (model, often), start = shared.value, given.value
+            own_reader = reader(model, path, often)
+            adam = Adam({k: v.copy() for k, v in start.items()})
+            own = Model(model.symbol_of, model.share, adam.w)
+            size = len(start["E"])
+            read, targets, rng = np.zeros(size), 0, np.random.default_rng(13)
+            for batch_rows in batches:
+                for part in bounded(batch_rows, size=2 << 20):
+                    texts = [own.windows(own_reader.text(tokens(t))[0]) for t in part["text"]]
+                    if not texts:
+                        continue
+                    inputs, goal, real = (np.concatenate(x) for x in zip(*texts, strict=True))
+                    for pick in np.array_split(rng.permutation(len(inputs)), -(-len(inputs) // batch)):
+                        adam.step(inputs[pick], goal[pick], real[pick], pace)
+                    read += np.bincount(inputs[inputs >= 0], minlength=size)
+                    targets += int(real.sum())
+            if targets:
+                rows = rows_of(adam.w).astype(np.float64)
+                n = np.concatenate([read, np.full(len(rows) - size, float(targets))])
+                at = np.flatnonzero(n)
+                yield {"row": at, "n": n[at]} | {c: rows[at, i] * n[at] for i, c in enumerate(names)}
+
+        mine = training.filter(F.pmod(F.xxhash64(F.col("i"), F.lit("round")), F.lit(rounds)) == turn)
+        sums = map_texts(mine, {"text": F.col("text")}, run, "row int, n double, " + ", ".join(f"{c} double" for c in names))
+        found = sums.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n", *names)]).toArrow()
+        rows = rows_of(weights)
+        if found.num_rows:
+            rows[found["row"].to_numpy()] = np.stack([found[c].to_numpy() for c in names], axis=1) / found["n"].to_numpy()[:, None]
+        weights = weights_of(rows, weights)
+        given.destroy()
+    return weights
+
+
 def log10_probabilities(model: Model, texts: list[np.ndarray], size: int = 256) -> np.ndarray:
     """Of each text's symbols the sum of log10 probabilities, in batches of windows of all texts together."""
     if not texts:
@@ -425,7 +488,7 @@ def id_counts(words: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-def score_documents(documents: DataFrame, model_path: str | None = None, fold: int = 7, held_out: int = 2, sample: int = SAMPLE_DOCUMENTS, steps: int = STEPS) -> DataFrame:
+def score_documents(documents: DataFrame, model_path: str | None = None, fold: int = 7, held_out: int = 2, sample: int = SAMPLE_DOCUMENTS, steps: int = STEPS, batch: int = BATCH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
     path = model_path or default_path()
     spark = documents.sparkSession
@@ -443,10 +506,12 @@ def score_documents(documents: DataFrame, model_path: str | None = None, fold: i
     fitted = Reader(cutter, model, {})
     train(model, [fitted.text(tokens(r["text"]))[0] for r in sorted(chosen, key=lambda r: str(r["i"]))], steps)
     shared = spark.sparkContext.broadcast((model, frequent))
+    learnt = spark.sparkContext.broadcast(learn(training, shared, path, batch) if ends else model.weights)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         model, often = shared.value
         own_reader = reader(model, path, often)
+        model = replace(model, weights=learnt.value)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in bounded(batch, size=2 << 20):

@@ -299,6 +299,15 @@ def test_every_id_is_told_apart():
     assert abs(got[0] - got[1]) > 1e-4
 
 
+def test_all_documents_are_learnt_from(spark):
+    rows = [(i, " ".join(["one", "two", "three", "four"] * 100), "en") for i in range(64)]
+    # No steps over the sample: what is learnt comes from the rounds.
+    got = [r for r in lm.score_documents(frame(spark, rows), sample=1, steps=0, batch=2).collect() if r["held_out"]]
+    assert got and all(r["score"] / r["n_tokens"] > -0.3 for r in got)  # -0.6 by counts alone
+    w = lm.fresh_weights(np.arange(lm.HEAD), 300)
+    assert all((v == w[k]).all() for k, v in lm.weights_of(lm.rows_of(w), w).items())
+
+
 def test_longest_pieces():
     vocabulary = Vocabulary.load(default_path())
     cutter, rng = lm.Cutter(vocabulary), random.Random(0)
