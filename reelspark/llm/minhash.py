@@ -269,7 +269,9 @@ def _may_match(least: float, other: str) -> Column:
     """Whether two documents of a key of _rare_buckets can be alike enough, by what each can have in common at most."""
     general = F.col("r") + F.col(f"r{other}") <= 1 / least - 1 + 1e-9
     even = F.least("common", f"common{other}") * (1 + least) >= least * (F.col("total") + F.col(f"total{other}")) - 1e-6
-    return general & F.coalesce(even, F.lit(True))
+    # least() passes over a null; the bound holds only where no shingle repeats in either.
+    flat = F.col("common").isNotNull() & F.col(f"common{other}").isNotNull()
+    return general & (~flat | even)
 
 
 #: Shingles counted together, and the most common ones that are told apart: bounds of the order by rarity, not of what is found.

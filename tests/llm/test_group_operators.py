@@ -110,6 +110,20 @@ def test_near_duplicates_against_all_pairs(spark, seed, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in got} == classes(docs) and all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+def test_a_text_and_its_repetition_in_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    word = lambda c, n: [f"{c}{i}" for i in range(n)]
+    r, q, t = word("r", 34), word("q", 70), word("t", 90)
+    docs = [r + q[:4] + t[: 90 - i] for i in range(8)]  # alike; the least of them lead the keys of r
+    docs += [part + word(f"{part[-1]}{j}x", 80) for part in (q, q[:4] + t) for j in range(14)]  # so that shingles of r are the rarest
+    docs += [r + q, r + q + r + q]  # no shingle repeats; nearly all do
+    docs = list(enumerate((" ".join(d) for d in docs), 1))
+    members = spark.createDataFrame([(1, i, 1, len(docs)) for i, _ in docs], "key long, id long, leader long, n long")
+    found = {x["id"]: x["component"] for x in minhash._links(members, spark.createDataFrame(docs, "id long, text string"), 0.8).collect()}
+    want = classes(docs)
+    assert want[len(docs)] == len(docs) - 1 and {i: found.get(i, i) for i, _ in docs} == want
+
+
 def test_near_duplicates_edge_rows(spark):
     got = minhash.near_duplicates(frame(spark, EDGE)).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted({str(i) for i, _, _ in EDGE}) and all(r["kept"] for r in got)
