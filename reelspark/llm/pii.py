@@ -95,7 +95,9 @@ _NUMBER = "|".join(sorted(_SPELLED, key=lambda w: (-len(w), w)))
 _AT = r"at|arroba|arobase|klammeraffe"
 _DOT = r"dot|punto|punkt|point"
 #: Where a disguise may stand; texts without any are done after the base pass. A plain substring test goes before each costly pattern.
-_ODD = re.compile("[" + re.escape("".join(sorted(set(_ALIKE) - set(" –\xad")))) + "]")
+_ODD = re.compile("[" + re.escape("".join(sorted(set(_ALIKE) - {"–"}))) + "]")
+#: The en dash is common in prose: it counts between digits, beside an @, and as the hyphen of the patterns below.
+_PARTED = re.compile(r"[0-9][ ().-]*+–[ ().–-]*+[0-9]")
 _BRACKETED = re.compile(rf"[\[({{<][ ]?(?:{_AT}|{_DOT}|@|\.)[ ]?[\])}}>]")
 _BARE = re.compile(rf"[a-z0-9] (?:{_AT}) [a-z0-9-]+(?: (?:{_DOT}) |\.)[a-z0-9]")
 _DIGITS = re.compile(rf"\b(?:{_NUMBER})[ ,.-]+(?:{_NUMBER}|[0-9]+)[ ,.-]+(?:{_NUMBER}|[0-9]+)\b")
@@ -106,9 +108,14 @@ _AT_WORDS = [f" {w} " for w in _AT.split("|")]
 
 def disguised(text: str) -> bool:
     """Whether some transducer may change the text to a point."""
-    if not text.isascii() and _ODD.search(text):
-        return True
     low = text.lower()
+    if not text.isascii():
+        if _ODD.search(text):
+            return True
+        if "–" in text:
+            if "@" in text or _PARTED.search(text):
+                return True
+            low = low.replace("–", "-")
     if any(c in low for c in "([{<") and _BRACKETED.search(low):
         return True
     if any(w in low for w in _AT_WORDS) and _BARE.search(low):

@@ -144,6 +144,18 @@ def test_disguises(text, want):
     assert not base and pii.joined(every) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("a 4111–1111–1111–1111 b", "card:2:21"), ("+49–151–23456789", "phone:0:16"), ("+49 (151)–23456789", "phone:0:18"), ("4111\xa01111\xa01111\xa01111", "card:0:19"),
+        ("joe@my–site.com", "email:0:15"), ("john\xa0at\xa0example\xa0dot\xa0com", "email:0:23"), ("from 1990 – 2000, so – it went", ""),
+    ],
+)
+def test_disguises_by_common_characters(text, want):
+    base, every = pii.find(text)
+    assert not base and pii.joined(every) == want
+
+
 def test_masking():
     assert pii.masked("a john@x.org b +1 (988) 555-2485.") == "a [EMAIL] b [PHONE]." and pii.masked(None) is None and pii.masked("plain") == "plain"
 
