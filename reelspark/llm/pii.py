@@ -206,12 +206,15 @@ def deobfuscated(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     if not disguised(text):
         return []
     new = _words(_alike(text))
-    marks = [0]
-    for c in new.changed:
+    # A character counts as changed also where the source had more between it and the one before: what was dropped there.
+    marks, gaps, last = [0], [0], 0
+    for c, begin, end in zip(new.changed, new.begins, new.ends, strict=True):
         marks.append(marks[-1] + c)
+        gaps.append(gaps[-1] + (begin > last))
+        last = end
     added = []
     for s, kind, e in detect("".join(new.text)):
-        if marks[e] == marks[s]:
+        if marks[e] == marks[s] and gaps[e] == gaps[s + 1]:
             continue
         begin, end = new.begins[s], new.ends[e - 1]
         if not any(k == kind and a < end and begin < b for a, k, b in base):

@@ -156,6 +156,18 @@ def test_disguises_by_common_characters(text, want):
     assert not base and pii.joined(every) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("to john@exam\u200bple.com now", "email:3:20"), ("4111\u200b1111\u200d1111\u20601111", "card:0:19"), ("+49\xad151\ufeff23456789", "phone:0:16"),
+        ("a\u200b john@example.com \u200cb", "email:3:19"), ("\u200b12.0.0.1\u200b", "ip:1:9"),
+    ],
+)
+def test_disguises_by_dropped_characters(text, want):
+    base, every = pii.find(text)
+    assert pii.joined(every) == want and (not base or base == every)
+
+
 def test_masking():
     assert pii.masked("a john@x.org b +1 (988) 555-2485.") == "a [EMAIL] b [PHONE]." and pii.masked(None) is None and pii.masked("plain") == "plain"
 
