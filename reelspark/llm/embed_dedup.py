@@ -158,7 +158,11 @@ def _node_links(nodes: DataFrame, largest: int, limit: float) -> DataFrame:
     bits, bands = band_plan(largest, limit)
     codes = checkpointed(_encoded(keyed, bits, bands))
     words = codes.agg(F.max(F.size("code")).alias("w")).first()["w"] or 1
-    cut = codes.select("node", "label", "d", "keys", "code", "planes", "factor", "low", "step")
+    # Shorter vectors get words of zeros after their code and each of their planes, so that all are indexed alike.
+    own, zeros = F.size("code"), F.array_repeat(F.lit(0).cast("long"), F.lit(words) - F.size("code"))
+    planes = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(PLANES - 1)), lambda j: F.concat(F.slice("planes", j * own + 1, own), zeros)))
+    padded = codes.withColumn("planes", F.when(own < words, planes).otherwise(F.col("planes"))).withColumn("code", F.when(own < words, F.concat("code", zeros)).otherwise(F.col("code")))
+    cut = padded.select("node", "label", "d", "keys", "code", "planes", "factor", "low", "step")
     side = cut.select(F.posexplode("keys").alias("band", "bucket"), "node", "label", "d", "keys", "code", "planes", "factor", "low", "step")
 
     def named(x: str) -> DataFrame:

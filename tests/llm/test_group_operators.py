@@ -197,6 +197,16 @@ def test_vectors_against_all_pairs(spark):
     assert embed_dedup.near_vectors(vectors(spark, [])).count() == 0
 
 
+def test_vectors_of_mixed_lengths(spark):
+    rng, rows = np.random.default_rng(8), []
+    for d in (64, 128, 70, 3):
+        for _ in range(6):
+            base = rng.normal(size=d)
+            rows += [(len(rows) + k, (base + rng.normal(size=d) * 0.1 * k).tolist(), 1) for k in range(3)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_vectors(vectors(spark, rows)).collect()}
+    assert got == brute_vectors(rows) and all(sum(got[i][0] > 0 for i in range(at, at + 18)) > 9 for at in range(0, 72, 18))
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 64))
