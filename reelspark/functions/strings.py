@@ -11,9 +11,14 @@ from pyspark.sql.types import StringType
 
 
 @F.pandas_udf(StringType())
-def ascii_fold(s: pd.Series) -> pd.Series:
-    """Compatibility decomposition without what isn't ASCII; no built-in function does this."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
+def _folded(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode(), na_action="ignore")
+
+
+def ascii_fold(text: Column) -> Column:
+    """Compatibility decomposition without what isn't ASCII; no built-in function does this, so other texts than ASCII go to Python."""
+    plain = text.rlike(r"\A[\x00-\x7f]*\z")
+    return F.when(plain, text).otherwise(_folded(F.when(~plain, text)))
 
 
 def slugify(value: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,15 +14,21 @@ from pyspark.sql import functions as F
 WINDOW_US = 60_000_000
 
 
-def _rolling(keys: Sequence[str], order: str) -> Window:
-    # A reservation leaves when it is a whole window old: (now - 60 s, now].
-    return Window.partitionBy(*keys).orderBy(order).rangeBetween(-(WINDOW_US - 1), 0)
+#: Time that one task reads in a row, in minutes; a busy key is dealt to as many tasks as it has such spans.
+SPAN = 60
 
 
 def rolling_usage(rows: DataFrame, keys: Sequence[str], cost: str = "cost", order: str = "t_us") -> DataFrame:
-    """rows with requests and tokens used in the minute that ends with each."""
-    own = _rolling(keys, order)
-    return rows.withColumn("used_requests", F.count(F.lit(1)).over(own)).withColumn("used_tokens", F.sum(cost).over(own))
+    """rows with requests and tokens used in the minute that ends with each: (now - 60 s, now].
+
+    A key's time is cut into spans. Rows of a span's last minute are copied into the next one, where they are only counted.
+    """
+    span = lambda t: F.floor(t / (SPAN * WINDOW_US))
+    t = F.col(order)
+    dealt = rows.withColumn("_span", F.explode(F.array_distinct(F.array(span(t), span(t + WINDOW_US - 1)))))
+    own = Window.partitionBy(*keys, "_span").orderBy(order).rangeBetween(-(WINDOW_US - 1), 0)
+    used = dealt.withColumn("used_requests", F.count(F.lit(1)).over(own)).withColumn("used_tokens", F.sum(cost).over(own))
+    return used.filter(F.col("_span") == span(t)).drop("_span")
 
 
 def largest_prefix(rows: DataFrame, keys: Sequence[str], order: str, budget: Column | int, cost: str = "cost") -> DataFrame:
@@ -30,55 +37,72 @@ def largest_prefix(rows: DataFrame, keys: Sequence[str], order: str, budget: Col
     return rows.withColumn("admitted", total <= (F.lit(budget) if isinstance(budget, int) else budget))
 
 
-@dataclass
+@dataclass(frozen=True)
 class Reservation:
+    """A start of requests: its number, when it was, how many items it took and the tokens set aside for them."""
+
+    number: int
     t: float
     items: int
     tokens: int
 
 
+def _whole(value: object, least: int, what: str) -> int:
+    if isinstance(value, bool) or not isinstance(value, int) or value < least:
+        raise ValueError(f"{what} must be a whole number, {least} at least")
+    return value
+
+
 class RollingLimiter:
     """Admits starts of requests under limits of requests and tokens a minute; time is given, so it runs over stored events too.
 
+    A ledger: the times of all starts in order, and the running total of tokens before each. What is in force at a moment is a
+    suffix of it, found by binary search, and what that holds is a difference of totals.
     Waiting for exactly wait() and trying again needs times that add without rounding: whole microseconds, say.
     """
 
     def __init__(self, requests: int, tokens: int, window: float = 60.0) -> None:
-        for name, v in (("requests", requests), ("tokens", tokens)):
-            if isinstance(v, bool) or not isinstance(v, int) or v <= 0:
-                raise ValueError(f"{name} must be a positive integer")
-        self.requests, self.tokens, self.window = requests, tokens, window
-        self.held: deque[Reservation] = deque()
+        self.requests, self.tokens, self.window = _whole(requests, 1, "requests"), _whole(tokens, 1, "tokens"), window
+        self._times: list[float] = []
+        self._totals: list[int] = [0]
+        self._dropped = 0
+
+    def _in_force(self, now: float) -> int:
+        """How many of the ledger's starts have left; long ledgers lose them."""
+        gone = bisect_right(self._times, now - self.window)
+        if gone > 1024:
+            del self._times[:gone], self._totals[:gone]
+            self._dropped += gone
+            return 0
+        return gone
 
     def attempt(self, now: float, costs: Sequence[int]) -> Reservation | None:
         """What of the costs is admitted now, or None."""
-        if not costs or any(isinstance(c, bool) or not isinstance(c, int) or c <= 0 for c in costs):
-            raise ValueError("costs must be positive integers, one at least")
-        if costs[0] > self.tokens:
-            raise ValueError(f"a single item of {costs[0]} tokens can never be admitted")
-        while self.held and self.held[0].t <= now - self.window:
-            self.held.popleft()
-        room, n, total = self.tokens - sum(r.tokens for r in self.held), 0, 0
-        if len(self.held) >= self.requests:
-            return None
-        for c in costs:
-            if total + c > room:
-                break
-            n, total = n + 1, total + c
-        if not n:
+        sums = list(accumulate(_whole(c, 1, "a cost") for c in costs))
+        if not sums:
+            raise ValueError("there must be a cost")
+        if sums[0] > self.tokens:
+            raise ValueError(f"an item of {sums[0]} tokens can never be admitted")
+        gone = self._in_force(now)
+        free = self.tokens - (self._totals[-1] - self._totals[gone])
+        items = bisect_right(sums, free) if len(self._times) - gone < self.requests else 0
+        if items == 0:
             return None
-        self.held.append(Reservation(now, n, total))
-        return self.held[-1]
+        self._times.append(now)
+        self._totals.append(self._totals[-1] + sums[items - 1])
+        return Reservation(self._dropped + len(self._times) - 1, now, items, sums[items - 1])
 
     def wait(self, now: float) -> float:
-        """Seconds until the oldest reservation leaves."""
-        return max(0, self.held[0].t + self.window - now) if self.held else self.window
+        """How long until the oldest start in force leaves; the whole window if there is none."""
+        left = self._times[gone] - now if (gone := self._in_force(now)) < len(self._times) else 0
+        return max(0, left + self.window)
 
     def reconcile(self, reservation: Reservation, actual: int) -> None:
-        """The tokens that a request really used."""
-        if isinstance(actual, bool) or not isinstance(actual, int) or actual < 0:
-            raise ValueError("actual tokens must be a non-negative integer")
-        reservation.tokens = actual
+        """Puts the tokens that were really used in place of those set aside."""
+        change = _whole(actual, 0, "actual tokens") - reservation.tokens
+        at = reservation.number - self._dropped
+        for i in range(max(0, at + 1), len(self._totals) if at >= 0 else 0):
+            self._totals[i] += change
 
 
 def admission_times(rows: DataFrame, key: str, requests: int, tokens: int, order: str = "t_us", cost: str = "cost") -> DataFrame:

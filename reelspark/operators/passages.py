@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,14 +29,22 @@ def z_score(value: Column, keys: Sequence[str]) -> Column:
     return F.when(~flat, (value - mean) / spread)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value made once however often it is read."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def array_z_scores(values: Column) -> Column:
     """The same over an array; null if it is flat."""
     n = F.size(values)
     mean = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / n
-    with_mean = F.struct(values.alias("v"), mean.alias("m"))
-    spread = F.transform(F.array(with_mean), lambda t: F.struct(t["v"].alias("v"), t["m"].alias("m"), F.sqrt(F.aggregate(t["v"], F.lit(0.0), lambda s, x: s + (x - t["m"]) * (x - t["m"])) / n).alias("s")))[0]
-    top = F.array_max(F.transform(values, lambda x: F.abs(x)))
-    return F.when(spread["s"] > 32 * EPSILON * F.greatest(F.lit(1.0), top), F.transform(F.array(spread), lambda t: F.transform(t["v"], lambda x: (x - t["m"]) / t["s"]))[0])
+    top = F.aggregate(values, F.lit(1.0), lambda s, x: F.greatest(s, F.abs(x)))
+
+    def scored(t: Column) -> Column:
+        squares = F.aggregate(t["v"], F.lit(0.0), lambda s, x: s + (x - t["m"]) * (x - t["m"]))
+        return _let(F.sqrt(squares / n), lambda spread: F.when(spread > 32 * EPSILON * t["top"], F.transform(t["v"], lambda x: (x - t["m"]) / spread)))
+
+    return _let(F.struct(values.alias("v"), mean.alias("m"), top.alias("top")), scored)
 
 
 def array_moving_average(values: Column, width: int) -> Column:
@@ -50,22 +58,29 @@ def maximum_subarray(values: Column) -> Column:
 
     Of equal sums the shorter run counts, then the earlier. A run starts anew where its sum so far isn't positive.
     """
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(0).alias("from"), F.lit(0.0).alias("best"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    none = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(0).alias("from"), none.alias("best"))
 
     def step(a: Column, x: Column) -> Column:
         anew = a["sum"] <= 0
-        now = F.struct(F.when(anew, x).otherwise(a["sum"] + x).alias("sum"), F.when(anew, a["i"]).otherwise(a["from"]).alias("from"))
-        return F.aggregate(F.array(now), a, lambda old, n: _better(old, n))
+        now = F.struct(F.when(anew, x).otherwise(a["sum"] + x).alias("sum"), F.when(anew, a["i"]).otherwise(a["from"]).alias("first"), a["i"].alias("last"))
+        return _let(now, lambda n: F.struct((n["last"] + 1).alias("i"), n["sum"].alias("sum"), n["first"].alias("from"), F.when(_better(n, a["best"]), n).otherwise(a["best"]).alias("best")))
 
-    def _better(a: Column, n: Column) -> Column:
-        equal = F.abs(n["sum"] - a["best"]) <= F.greatest(TOLERANCE * F.greatest(F.abs(n["sum"]), F.abs(a["best"])), F.lit(TOLERANCE))
-        long, old = a["i"] - n["from"], a["last"] - a["first"]
-        wins = (n["sum"] > 0) & ((a["first"] < 0) | (~equal & (n["sum"] > a["best"])) | (equal & ((long < old) | ((long == old) & (n["from"] < a["first"])))))
-        pick = lambda new, name: F.when(wins, new).otherwise(a[name]).alias(name)
-        return F.struct((a["i"] + 1).alias("i"), n["sum"].alias("sum"), n["from"].alias("from"), pick(n["sum"], "best"), pick(n["from"], "first"), pick(a["i"], "last"))
+    def _better(n: Column, old: Column) -> Column:
+        within = F.greatest(TOLERANCE * F.greatest(F.abs(n["sum"]), F.abs(old["sum"])), F.lit(TOLERANCE))
+        shape = lambda r: F.struct((r["last"] - r["first"]).alias("long"), r["first"].alias("first"))
+        return (n["sum"] > 0) & ((old["first"] < 0) | F.when(F.abs(n["sum"] - old["sum"]) <= within, shape(n) < shape(old)).otherwise(n["sum"] > old["sum"]))
 
-    done = F.aggregate(values, zero, step)
-    return F.when(done["first"] >= 0, F.struct(done["first"].alias("first"), done["last"].alias("last")))
+    return F.aggregate(values, zero, step, lambda a: F.when(a["best"]["first"] >= 0, F.struct(a["best"]["first"].alias("first"), a["best"]["last"].alias("last"))))
+
+
+def signal_runs(series: DataFrame, values: str, frames: int) -> DataFrame:
+    """series with run, the maximum subarray of the smoothed and standardised array of values.
+
+    Each array is a column of its own before the next step reads it: referred to in a lambda, an expression would be made anew for each item.
+    """
+    smooth = series.withColumn("_smooth", array_moving_average(F.col(values), frames))
+    return smooth.withColumn("_z", array_z_scores(F.col("_smooth"))).withColumn("run", maximum_subarray(F.col("_z"))).drop("_smooth", "_z")
 
 
 def select_passages(observations: DataFrame, keys: Sequence[str], frames: int = 3) -> DataFrame:
@@ -78,9 +93,8 @@ def select_passages(observations: DataFrame, keys: Sequence[str], frames: int =
     columns = [c for c in observations.columns if c not in keys]
     rest = [c for c in columns if c != "timestamp_us"]
     series = observations.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("timestamp_us", *rest))).alias("rows"))
-    scores = F.transform("rows", lambda r: r["score"])
-    signal = array_z_scores(array_moving_average(scores, frames))
-    series = series.withColumn("run", F.when(F.size("rows") >= 3, maximum_subarray(signal)))
+    series = signal_runs(series.withColumn("_scores", F.transform("rows", lambda r: r["score"])), "_scores", frames)
+    series = series.withColumn("run", F.when(F.size("rows") >= 3, F.col("run")))
     chosen = F.when(F.col("run").isNotNull(), F.slice("rows", F.col("run.first") + 1, F.col("run.last") - F.col("run.first") + 1)).otherwise(F.col("rows"))
     series = series.withColumn("chosen", chosen)
 

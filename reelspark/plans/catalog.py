@@ -170,8 +170,9 @@ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY
 @query(f"{_SIGNAL} SELECT asset_id, (first - 1)::INT AS first, (last - 1)::INT AS last FROM b WHERE asset_id IN (SELECT asset_id FROM n WHERE size >= 3)")
 def max_subarray(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _ordered(spark, sf_dir).groupBy("asset_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("timestamp_us", "score"))), lambda r: r["score"]).alias("v"))
-    run = passages.maximum_subarray(passages.array_z_scores(passages.array_moving_average(F.col("v"), 3)))
-    return own.filter(F.size("v") >= 3).select("asset_id", run.alias("r")).filter("r is not null").select("asset_id", "r.first", "r.last")
+    # A filter of null runs would be pushed below the steps that make them, and make them again.
+    runs = passages.signal_runs(own.filter(F.size("v") >= 3), "v", 3)
+    return runs.select("asset_id", F.inline(F.array_compact(F.array("run"))))
 
 
 @query(f"""{_SIGNAL}, f AS (SELECT n.asset_id, n.k, n.score, n.source_path, CASE WHEN n.size >= 3 THEN b.first END AS first, CASE WHEN n.size >= 3 THEN b.last END AS last FROM n LEFT JOIN b USING (asset_id)),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import clock, duration_microseconds
 from ..functions.vectors import check_query
-from ..operators.intervals import neighborhoods, refined, within
+from ..operators.intervals import STREAM, neighborhoods, refined, within
 from ..operators.passages import select_passages
 from ..operators.ranking import best_by_photo, best_by_timestamp, first_of, match_order, ranked, result_order, scored, top_k
 from ..session import SearchSettings
@@ -17,11 +17,13 @@ from ..session import SearchSettings
 AREA = ["asset_id", "source_path", "area_start_us", "area_end_us"]
 
 
-def opportunities(matches: DataFrame, context_seconds: float) -> DataFrame:
-    """One row, n: photos and video neighbourhoods that the matches can become."""
-    photos = matches.filter("media_type = 'image'").agg(F.count_distinct("asset_id").alias("p"))
-    videos = neighborhoods(best_by_timestamp(matches.filter("media_type = 'video'")), context_seconds).agg(F.count(F.lit(1)).alias("v"))
-    return photos.crossJoin(F.broadcast(videos)).select((F.col("p") + F.col("v")).alias("n"))  # a row each
+def opportunities(matches: DataFrame, context_seconds: float, keys: Sequence[str] = ()) -> DataFrame:
+    """n: photos and video neighbourhoods that the matches can become; one row, or one for each of the keys that has matches."""
+    video = matches.filter("media_type = 'video'")
+    hits = first_of(video, [*keys, "asset_id", "timestamp_us"], match_order())
+    areas = neighborhoods(hits, context_seconds, [*keys, *STREAM]).select(*keys, F.lit(1).alias("one"))
+    photos = matches.filter("media_type = 'image'").select(*keys, "asset_id").distinct().select(*keys, F.lit(1).alias("one"))
+    return areas.unionByName(photos).groupBy(*keys).agg(F.count("one").alias("n"))
 
 
 def limits(settings: SearchSettings, wanted: int) -> list[int]:
@@ -36,16 +38,20 @@ def limits(settings: SearchSettings, wanted: int) -> list[int]:
 def overfetched(visuals: DataFrame, query: Sequence[float], wanted: int, settings: SearchSettings) -> tuple[DataFrame, int]:
     """Candidates, and how many were asked for in the end.
 
-    Scores are made once: the best of the hard limit, a few thousand rows, are kept in order, and each try reads the start of them.
+    Scores are made once: the best of the hard limit, a few thousand rows without their vectors, are fetched in order. All tries are
+    counted in one job, each over the start of them.
     """
     tries = limits(settings, wanted)
-    pool = ranked(top_k(scored(visuals, query), tries[-1])).persist()
-    for k in tries:
-        candidates = pool.filter(F.col("candidate_rank") <= k)
-        found = candidates.count()
-        if opportunities(candidates, settings.context_seconds).first()["n"] >= wanted or found < k or k == tries[-1]:
-            return candidates, k
-    raise AssertionError("there is always a last try")
+    pool = ranked(top_k(scored(visuals, query).drop("vector"), tries[-1])).toArrow()
+    spark, found = visuals.sparkSession, pool.num_rows
+    own = spark.createDataFrame(pool)
+    if len(tries) > 1 and found > tries[0]:
+        counted = own.select("*", F.explode(F.filter(F.array(*[F.lit(k) for k in tries]), lambda k: k >= F.col("candidate_rank"))).alias("try"))
+        counts = {r["try"]: r["n"] for r in opportunities(counted, settings.context_seconds, ["try"]).collect()}
+        asked = next(k for k in tries if counts.get(k, 0) >= wanted or found < k or k == tries[-1])
+    else:
+        asked = tries[0]
+    return own.filter(F.col("candidate_rank") <= asked), asked
 
 
 def photos(matches: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,16 +58,18 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_cells(spark: SparkSession, cells: list[list]) -> DataFrame:
-    """The same from rows of cells; a sheet of a workbook fits the driver."""
-    names, rows = None, []
-    needed = {"No.", "Place Name", "City", "Country", "Link"}
-    for row in cells:
-        here = {str(v).strip(): i for i, v in enumerate(row) if v is not None}
-        if needed <= here.keys():
-            names = here
-        elif names is not None:
-            rows.append([None if (v := row[names[n]] if n in names and names[n] < len(row) else None) is None else str(v) for n in [*OLDER.values(), "enabled"]])
-    return canonical(spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in [*OLDER.values(), "enabled"])))
+    """The same from rows of cells; a sheet of a workbook fits the driver.
+
+    Each row goes with the header that was seen last: a running choice over the sheet, headers and what lies above the first left out.
+    """
+    wanted = [*OLDER.values(), "enabled"]
+    titles = [{str(v).strip(): i for i, v in enumerate(row) if v is not None} for row in cells]
+    headers = [t if all(OLDER[n] in t for n in REQUIRED) else None for t in titles]
+    bound = accumulate(headers, lambda seen, new: new or seen)
+    at = lambda row, i: row[i] if i is not None and i < len(row) else None
+    text = lambda v: None if v is None else str(v)
+    rows = [[text(at(row, places.get(n))) for n in wanted] for row, new, places in zip(cells, headers, bound, strict=True) if places and not new]
+    return canonical(spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in wanted)))
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:

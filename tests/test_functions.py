@@ -198,3 +198,36 @@ def test_positional_joins(spark):
     for bad in (items(0, 0), items(0, 2), items(0)):
         with pytest.raises(Exception, match="indexes"):
             one(spark, joins.by_index(bad, F.lit(2)))
+
+
+def test_relative_references(spark):
+    from urllib.parse import urljoin
+
+    bases = ["https://a.example/x/y/master.m3u8?t=1#f", "http://a.example", "https://a.example/a//b/c", "https://a.example/a/../b/./c", "https://u@a.example:80/p/"]
+    references = ["b.m3u8", "../b.m3u8", "../../../b", "./b", "b/../c?x=../y", "/r/../s", "//h.example/z/../k", "?q=1", "#k", "", "https://o.example/a/../b", "a//b", "..", ".", "a/.", "x/..", "b?u=http://x/", "a:b", "/"]
+    rows = spark.createDataFrame([(b, r) for b in bases for r in references], "b string, r string")
+    for got in rows.select("b", "r", urls.join_url(F.col("b"), F.col("r")).alias("url")).collect():
+        assert got["url"] == urljoin(got["b"], got["r"]), got
+    assert one(spark, urls.join_url(F.lit("https://a.example/"), F.lit(None).cast("string"))) is None
+
+
+def test_attributes(spark):
+    own = one(spark, playlists.attributes(F.lit('#EXT-X-STREAM-INF:BANDWIDTH=1,CODECS="a,b",BANDWIDTH=2,NAME= x ')))
+    assert own == {"BANDWIDTH": "2", "CODECS": "a,b", "NAME": "x"}
+
+
+def test_playlist_line_ends(spark):
+    text = "#EXTM3U\r#EXT-X-STREAM-INF:BANDWIDTH=1\r#EXT-X-STREAM-INF:BANDWIDTH=2\r\n  \r\n  v.m3u8  \rw.m3u8\n#EXT-X-STREAM-INF:BANDWIDTH=3\n"
+    rows = playlists.explode_variants(spark.createDataFrame([("https://a.example/m.m3u8", text), ("https://a.example/n.m3u8", None), ("https://a.example/o.m3u8", "")], "url string, text string"))
+    assert [(r["variant_url"], r["bandwidth"]) for r in rows.orderBy("position").collect()] == [("https://a.example/v.m3u8", 1), ("https://a.example/v.m3u8", 2)]
+
+
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [
+        ("https://a.example/x//y/CHUNKLIST_b1.m3u8", "/x/y/"), ("https://a.example/x/stream.m3u8/", "/x/"), ("https://a.example/c/tracks-v2/mono.m3u8", "/c/"), ("https://a.example/c/cam_output_10.m3u8", "/c/cam"),
+        ("https://a.example/123e4567-e89b-12d3-a456-426614174000.m3u8", "/123e4567-e89b-12d3-a456-426614174000"), ("https://a.example", "/"), ("https://a.example/x//front.m3u8", "/x//front.m3u8"), ("https://a.example/index.m3u8", "/"),
+    ],
+)
+def test_family_path(spark, url, want):
+    assert one(spark, urls.family_path(F.lit(url))) == want

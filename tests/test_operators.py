@@ -192,6 +192,40 @@ def test_limiter():
         budget.RollingLimiter(True, 5)
 
 
+def test_limiter_against_a_plain_one():
+    """Each start held by itself and summed anew, against the ledger; long enough for the ledger to be cut."""
+    rng = np.random.default_rng(7)
+    own, held, now, given = budget.RollingLimiter(3, 50, 10), [], 0, []
+    for _ in range(6000):
+        now += int(rng.integers(0, 4))
+        costs = [int(c) for c in rng.integers(1, 30, rng.integers(1, 4))]
+        held = [h for h in held if h[0] > now - 10]
+        room, n = 50 - sum(h[1] for h in held), 0
+        while n < len(costs) and sum(costs[: n + 1]) <= room:
+            n += 1
+        got = own.attempt(now, costs)
+        assert (got.items if got else 0) == (n if len(held) < 3 else 0)
+        if got:
+            held.append([now, got.tokens])
+            given.append((got, held[-1]))
+        if given and rng.random() < 0.3:
+            (r, h), actual = given.pop(), int(rng.integers(0, 20))
+            own.reconcile(r, actual)
+            h[1] = actual
+        held = [h for h in held if h[0] > now - 10]
+        assert own.wait(now) == (held[0][0] + 10 - now if held else 10)
+
+
+def test_rolling_usage_over_spans(spark):
+    rng = np.random.default_rng(5)
+    rows = [("ab"[i % 2], int(t), int(c)) for i, (t, c) in enumerate(zip(rng.integers(3_550_000_000, 3_660_000_000, 300), rng.integers(1, 9, 300), strict=True))]
+    got = budget.rolling_usage(spark.createDataFrame(rows, "k string, t_us long, cost long"), ["k"]).collect()
+    assert len(got) == 300
+    for r in got:
+        near = [c for k, t, c in rows if k == r["k"] and r["t_us"] - 60_000_000 < t <= r["t_us"]]
+        assert (r["used_requests"], r["used_tokens"]) == (len(near), sum(near))
+
+
 def test_rolling_usage(spark):
     rows = spark.createDataFrame([("p", t, 10 if t < 60_000_001 else 5) for t in (0, 59_999_999, 60_000_000, 60_000_001)], "k string, t_us long, cost long")
     assert [r["used_tokens"] for r in budget.rolling_usage(rows, ["k"]).orderBy("t_us").collect()] == [10, 20, 20, 25]
