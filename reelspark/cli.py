@@ -1,16 +1,16 @@
-"""Commands: scan a folder, search a store, discover streams. Results go to standard output, all else to standard error."""
+"""Commands: scan a folder, index it, search a store, list sources, discover streams. Results go to standard output, all else to standard error."""
 
 from __future__ import annotations
 
 import argparse
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.times import clock
-from .session import Settings, build_session
+from .session import EmbeddingSettings, Settings, build_session, closing_all
 
 
 def positive(text: str) -> int:
@@ -35,11 +35,26 @@ def scan_text(metadata: DataFrame, root: str) -> DataFrame:
     return metadata.orderBy("path").select(F.when(F.col("media_type") == "video", video).otherwise(image).alias("text"))
 
 
-def main(args: Sequence[str] | None = None) -> int:
+def told(text: str) -> None:
+    """How far a command is: to standard error, never among its results."""
+    print(text, file=sys.stderr, flush=True)
+
+
+def main(args: Sequence[str] | None = None, engines: dict[str, Callable[[EmbeddingSettings], object]] | None = None) -> int:
+    """Runs a command; engines make the embedders that the settings name. 0, or 1 if something failed."""
     parser = argparse.ArgumentParser(prog="reelspark")
     commands = parser.add_subparsers(dest="command", required=True)
     own = commands.add_parser("scan", help="list media below a folder with what a probe says")
     own.add_argument("path", nargs="?", default=None)
+    own = commands.add_parser("index", help="index media below a folder, as far as that isn't done")
+    own.add_argument("path", nargs="?", default=None)
+    own.add_argument("--store", default=None)
+    own = commands.add_parser("discover", help="cameras of the sources of a file, from tables of pages, requests and playlists")
+    own.add_argument("sources")
+    own.add_argument("--pages", required=True, help="source_id, url, html")
+    own.add_argument("--requests", default=None, help="source_id, url")
+    own.add_argument("--playlists", default=None, help="url, final_url, text")
+    own.add_argument("--candidates-only", action="store_true", help="only the playlists that are named, none read")
     own = commands.add_parser("search", help="rank photos and passages for words")
     own.add_argument("query")
     own.add_argument("--store", default=None)
@@ -67,9 +82,35 @@ def main(args: Sequence[str] | None = None) -> int:
 
             if not said.query.strip():
                 raise ValueError("search query must not be blank")
-            store = VisualStore(spark, said.store or settings.data_dir)
-            results = search_text(store, create_embedder(settings.embedding), said.query, said.limit, settings.search)
-            print("\n\n".join(r["text"] for r in rendered(results).orderBy("position").collect()))
+            store, embedder = VisualStore(spark, said.store or settings.data_dir), create_embedder(settings.embedding, engines)
+            with closing_all(embedder):
+                results = search_text(store, embedder, said.query, said.limit, settings.search)
+                print("\n\n".join(r["text"] for r in rendered(results).orderBy("position").collect()))
+        elif said.command == "index":
+            from .plans import indexing
+            from .plans.embedding import create_embedder
+            from .sources.store import VisualStore
+
+            root = said.path or settings.data_dir
+            told(f"index: {root}")
+            outcome = indexing.run(spark, root, VisualStore(spark, said.store or settings.data_dir), lambda: create_embedder(settings.embedding, engines), settings=settings, say=told)
+            print(outcome.text())
+            return outcome.exit_code
+        elif said.command == "discover":
+            from .plans import discovery
+            from .sources.lists import read_sources
+
+            sources = read_sources(spark, said.sources)
+            if "position" not in sources.columns:
+                sources = sources.withColumn("position", F.monotonically_increasing_id())
+            read = lambda path, form: spark.read.parquet(path) if path else spark.createDataFrame([], form)
+            pages, requests = read(said.pages, "source_id string, url string, html string"), read(said.requests, "source_id string, url string")
+            if said.candidates_only:
+                found = discovery.page_urls(pages).unionByName(discovery.observed_urls(requests)).distinct().orderBy("source_id", "url").select(F.to_json(F.struct("source_id", "url")).alias("json"))
+            else:
+                found = discovery.discover(sources, pages, requests, read(said.playlists, "url string, final_url string, text string"))
+            for r in found.toLocalIterator():
+                print(r["json"])
         else:
             from .sources.lists import read_sources
 

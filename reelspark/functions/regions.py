@@ -33,6 +33,8 @@ def regions(width: Column, height: Column, scales: Sequence[float] = SCALES, ove
         ints = [c.cast("int").alias(n) for n, c in (("x", x), ("y", y), ("width", w), ("height", h))]
         return F.struct(F.lit(kind).alias("region_kind"), F.struct(*ints, F.lit(float(scale)).alias("scale")).alias("region"))
 
+    if not all(0 < s <= 1 for s in scales) or not 0 <= overlap < 1:
+        raise ValueError("scales must be above 0 and at most 1, the overlap at least 0 and below 1")
     parts = [F.array(cell("full", F.lit(0), F.lit(0), width, height, 1.0))]
     for scale in scales:
         w, h = scaled_length(width, scale), scaled_length(height, scale)
@@ -47,6 +49,23 @@ def _tiles(cell: Callable[..., Column], xs: Column, ys: Column, w: Column, h: Co
     return F.filter(tiles, lambda t: ~whole)
 
 
+def region_list(width: int, height: int, scales: Sequence[float] = SCALES, overlap: float = OVERLAP) -> list[tuple[str, dict]]:
+    """The same as regions(), for one frame that a task holds: (kind, region), in order."""
+    if width <= 0 or height <= 0:
+        raise ValueError("frame sides must be positive")
+    rounded = lambda v: max(1, int(np.floor(v + 0.5)))
+
+    def starts(full: int, tile: int) -> list[int]:
+        return [0] if tile >= full else list(dict.fromkeys([*range(0, full - tile + 1, rounded(tile * (1 - overlap))), full - tile]))
+
+    found = [("full", {"x": 0, "y": 0, "width": width, "height": height, "scale": 1.0})]
+    for scale in scales:
+        w, h = min(width, rounded(width * scale)), min(height, rounded(height * scale))
+        if (w, h) != (width, height):
+            found += [("tile", {"x": x, "y": y, "width": w, "height": h, "scale": float(scale)}) for y in starts(height, h) for x in starts(width, w)]
+    return found
+
+
 def explode_regions(frames: DataFrame, scales: Sequence[float] = SCALES, overlap: float = OVERLAP) -> DataFrame:
     """A row for each region of each frame (width, height), with its number from 0."""
     return frames.select("*", F.posexplode(regions(F.col("width"), F.col("height"), scales, overlap)).alias("region_index", "cell")).select("*", "cell.*").drop("cell")

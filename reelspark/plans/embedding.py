@@ -75,6 +75,26 @@ class BatchedEmbedder:
     embed_texts = embed_images = embed
 
 
+class ServiceError(ConnectionError):
+    """A refusal that may pass, with the status and what its Retry-After header says."""
+
+    def __init__(self, status: int, retry_after: str | None = None) -> None:
+        super().__init__(f"the service answered {status}")
+        self.status, self.retry_after = status, retry_after
+
+
+#: Answers that may be asked again, fixed values.
+RETRIED = frozenset((429, *range(500, 600)))
+
+
+def pause(error: ConnectionError, attempt: int) -> float:
+    """Seconds before the next try: a numeric Retry-After, never below 0, else 2 to the attempt, 30 at most."""
+    try:
+        return max(0.0, float(getattr(error, "retry_after", None)))
+    except (TypeError, ValueError):
+        return min(30.0, 2.0**attempt)
+
+
 class LimitedEmbedder:
     """Calls a remote service under rolling limits: the longest start of what is left that fits, reconciled with what it used; retries are admitted anew."""
 
@@ -91,10 +111,10 @@ class LimitedEmbedder:
                 part = part[: own.items]
                 try:
                     v, used = self.call(part)
-                except ConnectionError:
-                    if attempt == self.attempts:
+                except ConnectionError as e:
+                    if attempt == self.attempts or getattr(e, "status", 429) not in RETRIED:
                         raise
-                    self.sleep(min(30.0, 2.0**attempt))
+                    self.sleep(pause(e, attempt))
                     continue
                 self.limiter.reconcile(own, used)
                 break
@@ -117,9 +137,10 @@ def resolve_backend(wanted: str, available: dict[str, bool]) -> str:
 
 
 def create_embedder(settings: EmbeddingSettings, engines: dict[str, Callable[[EmbeddingSettings], Embedder]] | None = None) -> Embedder:
-    """The embedder that the settings name; engines are registered by who has their models."""
-    if engines and settings.engine in engines:
-        return engines[settings.engine](settings)
+    """The embedder that the settings name; engines are registered by who has their models. `hash` needs none."""
+    known = {"hash": lambda _: HashEmbedder()} | (engines or {})
+    if settings.engine in known:
+        return known[settings.engine](settings)
     raise RuntimeError(f"no engine {settings.engine!r} is registered")
 
 

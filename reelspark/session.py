@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import SparkSession
@@ -67,7 +69,7 @@ class EmbeddingSettings:
     backend: str = "auto"
 
     def __post_init__(self) -> None:
-        if self.engine not in ("local", "api"):
+        if self.engine not in ("local", "api", "hash"):
             raise ValueError(f"unknown embedding engine {self.engine!r}")
         for name in ("batch_size", "requests_per_minute", "tokens_per_minute", "concurrency"):
             _positive(name, getattr(self, name))
@@ -99,3 +101,26 @@ class Settings:
             like = getattr(kinds[group]() if group else cls(), name)
             (groups[group] if group else own)[name] = type(like)(raw)
         return cls(search=SearchSettings(**groups["search"]), embedding=EmbeddingSettings(**groups["embedding"]), **own)
+
+
+@contextmanager
+def closing_all(*resources: object) -> Iterator[None]:
+    """Closes what has a close(), last first, whatever happens. A failure of the body is what is raised, failures of closing are noted on it; else the first of these is raised."""
+    first: BaseException | None = None
+    try:
+        yield
+    except BaseException as e:
+        first = e
+        raise
+    finally:
+        late: BaseException | None = None
+        for r in reversed(resources):
+            try:
+                if callable(getattr(r, "close", None)):
+                    r.close()
+            except Exception as e:
+                late = late or e
+                if first is not None:
+                    first.add_note(f"closing failed too: {e}")
+        if first is None and late is not None:
+            raise late

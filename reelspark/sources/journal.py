@@ -89,13 +89,16 @@ def completed(spark: SparkSession, path: str, instance: str) -> DataFrame:
     return read_journal(spark, path).filter(F.lower("index_instance_id") == instance).select("asset_id").distinct()
 
 
-def mark_completed(path: str, instance: str, asset_id: str, source_path: str) -> None:
-    """Appends a completion and waits until it is on disk."""
-    if not re.fullmatch("[0-9a-f]{64}", asset_id) or not source_path or source_path.startswith("/"):
-        raise JournalError(f"invalid completion of {source_path!r}")
-    record = {"schema_version": VERSION, "index_instance_id": checked_uuid(instance, "index_instance_id"), "asset_id": asset_id, "source_path": source_path, "status": "completed"}
+def mark_completed(path: str, instance: str, *assets: tuple[str, str]) -> None:
+    """Appends the completions of assets (asset_id, source_path) in one write and waits until they are on disk; cut off, it leaves one torn line at the end."""
+    instance = checked_uuid(instance, "index_instance_id")
+    lines = []
+    for asset_id, source_path in assets:
+        if not re.fullmatch("[0-9a-f]{64}", asset_id) or not source_path or source_path.startswith("/"):
+            raise JournalError(f"invalid completion of {source_path!r}")
+        lines.append(json.dumps({"schema_version": VERSION, "index_instance_id": instance, "asset_id": asset_id, "source_path": source_path, "status": "completed"}, ensure_ascii=False) + "\n")
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(path, "a", encoding="utf-8") as f:
-        f.write(json.dumps(record, ensure_ascii=False) + "\n")
+        f.write("".join(lines))
         f.flush()
         os.fsync(f.fileno())

@@ -75,7 +75,8 @@ def parse_probe(rows: DataFrame) -> DataFrame:
         "duration_seconds": F.when(video, own["format"]["duration"].try_cast("double")),
         "fps": F.when(video, frame_rate(stream["avg_frame_rate"], stream["r_frame_rate"])),
     }
-    out = rows.select("path", "media_type", *[v.alias(k) for k, v in values.items()])
+    told = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
+    out = rows.select("path", "media_type", told.alias("error"), *[v.alias(k) for k, v in values.items()])
     missing = [
         F.when(F.coalesce(F.col("width") > 0, F.lit(False)) & F.coalesce(F.col("height") > 0, F.lit(False)), None).otherwise(F.lit("sides")),
         F.when(video & F.coalesce(F.col("codec") == "", F.lit(True)), F.lit("codec")),
@@ -83,7 +84,8 @@ def parse_probe(rows: DataFrame) -> DataFrame:
         F.when(video & F.col("fps").isNull(), F.lit("frame rate")),
     ]
     bad = F.array_compact(F.array(*missing))
-    return out.withColumn("error", F.when(F.size(bad) > 0, F.concat(F.col("path"), F.lit(": no valid "), F.array_join(bad, ", "))))
+    said = F.when(F.size(bad) > 0, F.concat(F.col("path"), F.lit(": no valid "), F.array_join(bad, ", ")))
+    return out.withColumn("said", F.coalesce("error", said)).drop("error").withColumnRenamed("said", "error")
 
 
 def probe(media: DataFrame, program: str = "ffprobe") -> DataFrame:
@@ -125,7 +127,8 @@ class KeyframeSampler:
 
     def eval(self, path: str, width: int, height: int, times: str, program: str):  # noqa: ANN201
         stamps = json.loads(times)
-        command = [program, "-v", "error", "-skip_frame", "nokey", "-i", path, "-map", "0:v:0", "-vsync", "passthrough", "-f", "rawvideo", "-pix_fmt", "rgb24", "-"]
+        # Frames come as they are stored: turned by the decoder, their sides would be swapped against the probe's.
+        command = [program, "-v", "error", "-skip_frame", "nokey", "-noautorotate", "-i", path, "-map", "0:v:0", "-vsync", "passthrough", "-f", "rawvideo", "-pix_fmt", "rgb24", "-"]
         size = width * height * 3
         with subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.PIPE) as run:
             for t in stamps:
@@ -146,25 +149,80 @@ def sampler():  # noqa: ANN201
     return udtf(KeyframeSampler, returnType="timestamp_seconds double, width int, height int, rgb24 binary")
 
 
-def decode_images(files: DataFrame) -> DataFrame:
-    """files(path, content, width, height) as (path, width, height, rgb24); sides must be those of the probe. Needs Pillow on the executors."""
+class StageError(Exception):
+    """What kept an asset from being indexed, and at which stage."""
+
+    def __init__(self, stage: str, message: str) -> None:
+        super().__init__(stage, message)
+        self.stage, self.message = stage, message
+
+
+def probe_keyframes(path: str, program: str = "ffprobe") -> str:
+    """What the probe program prints of a video's key frames: JSON that keyframe_times reads. Runs where it is called."""
+    command = [program, "-v", "error", "-skip_frame", "nokey", "-select_streams", "v:0", "-show_frames", "-show_entries", "frame=key_frame,best_effort_timestamp_time", "-of", "json", path]
+    try:
+        return subprocess.run(command, capture_output=True, text=True, check=True).stdout
+    except (OSError, subprocess.CalledProcessError) as e:
+        raise StageError("sampling", f"{path}: {getattr(e, 'stderr', None) or e}") from e
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
 
+def keyframe_list(payload: str) -> list[float]:
+    """keyframe_times for one payload that a task holds."""
+    try:
+        times = [float(f["best_effort_timestamp_time"]) for f in json.loads(payload)["frames"] if f.get("key_frame") == 1]
+    except (KeyError, TypeError, ValueError) as e:
+        raise StageError("sampling", "key frames can't be read") from e
+    if not times or not all(0 <= t < float("inf") for t in times):
+        raise StageError("sampling", "no usable key frames")
+    return list(dict.fromkeys(times))
+
+
+def read_image(content: bytes, width: int, height: int) -> bytes:
+    """RGB bytes of a still image, whose sides must be those of the probe. Needs Pillow."""
+    import io
+
+    try:
         from PIL import Image
 
+        image = Image.open(io.BytesIO(content)).convert("RGB")
+    except Exception as e:
+        raise StageError("decode", f"the image can't be read: {e}") from e
+    if image.size != (width, height):
+        raise StageError("decode", f"sides are {image.size[0]}x{image.size[1]}, not {width}x{height} as probed")
+    return image.tobytes()
+
+
+def frames_of(path: str, media_type: str, width: int, height: int, ffprobe: str = "ffprobe", ffmpeg: str = "ffmpeg") -> Iterator[tuple[float | None, int, int, bytes]]:
+    """(time, width, height, RGB bytes) of a probed asset's frames, one held at a time; a failure names its stage."""
+    if media_type == "image":
+        with open(path, "rb") as f:
+            yield None, width, height, read_image(f.read(), width, height)
+        return
+    times = keyframe_list(probe_keyframes(path, ffprobe))
+    try:
+        yield from KeyframeSampler().eval(path, width, height, json.dumps(times), ffmpeg)
+    except (OSError, ValueError) as e:
+        raise StageError("sampling", str(e)) from e
+
+
+def decode_images(files: DataFrame) -> DataFrame:
+    """files(path, content, width, height) as (path, width, height, rgb24, error): an image that can't be read has an error, the others go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.to_pydict()
-            data = []
+            data, errors = [], []
             for path, content, w, h in zip(own["path"], own["content"], own["width"], own["height"], strict=True):
-                image = Image.open(io.BytesIO(content)).convert("RGB")
-                if image.size != (w, h):
-                    raise ValueError(f"{path}: sides differ from the probe")
-                data.append(image.tobytes())
-            yield pa.RecordBatch.from_pydict({"path": own["path"], "width": pa.array(own["width"], pa.int32()), "height": pa.array(own["height"], pa.int32()), "rgb24": pa.array(data, pa.binary())})
-
-    return files.select("path", "content", "width", "height").mapInArrow(run, "path string, width int, height int, rgb24 binary")
+                try:
+                    data.append(read_image(content, w, h))
+                    errors.append(None)
+                except StageError as e:
+                    data.append(None)
+                    errors.append(f"{path}: {e.message}")
+            columns = {"path": pa.array(own["path"], pa.string()), "width": pa.array(own["width"], pa.int32()), "height": pa.array(own["height"], pa.int32()), "rgb24": pa.array(data, pa.binary()), "error": pa.array(errors, pa.string())}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return files.select("path", "content", "width", "height").mapInArrow(run, "path string, width int, height int, rgb24 binary, error string")
 
 
 def checked_frames(frames: DataFrame) -> DataFrame:

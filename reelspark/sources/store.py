@@ -113,6 +113,15 @@ class VisualStore:
             raise ValueError("a timeline window must be 0 <= start <= end")
         return self.visuals().filter((F.col("asset_id") == asset_id) & (F.col("media_type") == "video") & F.col("timestamp_us").between(start_us, end_us)).orderBy("timestamp_us", "point_id")
 
+    def stage(self, rows: DataFrame, *apart: str) -> str:
+        """Writes rows beside the visuals, in files by the columns apart; gives the path."""
+        held = os.path.join(self.root, f"staged-{uuid.uuid4().hex}")
+        rows.write.partitionBy(*apart).parquet(held)
+        return held
+
+    def unstage(self, held: str) -> None:
+        self._drop(held)
+
     def _drop(self, path: str) -> None:
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)

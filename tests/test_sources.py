@@ -10,10 +10,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reelspark.functions import regions
 from reelspark.operators.budget import RollingLimiter
 from reelspark.plans import discovery, embedding, indexing
 from reelspark.schema import violations
-from reelspark.session import EmbeddingSettings, Settings
+from reelspark.session import EmbeddingSettings, Settings, closing_all
 from reelspark.sources import journal, lists, media
 from reelspark.sources.store import Identity, IncompatibleStore, VisualStore
 
@@ -67,8 +68,8 @@ def line(asset="a" * 64, instance=INSTANCE, **other):
 def test_journal(spark, tmp_path):
     path = str(tmp_path / "state" / "completed.jsonl")
     assert journal.completed(spark, path, INSTANCE).count() == 0
-    journal.mark_completed(path, INSTANCE, "a" * 64, "a.mkv")
-    journal.mark_completed(path, "00000000-0000-4000-8000-000000000000", "b" * 64, "b.mkv")
+    journal.mark_completed(path, INSTANCE, ("a" * 64, "a.mkv"))
+    journal.mark_completed(path, "00000000-0000-4000-8000-000000000000", ("b" * 64, "b.mkv"), ("d" * 64, "d.mkv"))
     with open(path, "a") as f:
         f.write("\n\n" + line("c" * 64) + '\n{"schema_ver')
     assert sorted(r[0][0] for r in journal.completed(spark, path, INSTANCE).collect()) == ["a", "c"]
@@ -80,7 +81,7 @@ def test_journal(spark, tmp_path):
     with pytest.raises(journal.JournalError):
         journal.completed(spark, path, "no")
     with pytest.raises(journal.JournalError):
-        journal.mark_completed(path, INSTANCE, "short", "a.mkv")
+        journal.mark_completed(path, INSTANCE, ("short", "a.mkv"))
 
 
 def test_dataset_identity(tmp_path):
@@ -288,3 +289,136 @@ def test_frames_must_fit(spark):
     assert media.checked_frames(spark.createDataFrame([(1, 1, bytearray(b"abc"))], kinds)).count() == 1
     with pytest.raises(Exception, match="three bytes"):
         media.checked_frames(spark.createDataFrame([(1, 1, bytearray(b"ab"))], kinds)).collect()
+
+
+PROBE = """case "$*" in
+*lost.mkv*) echo lost >&2; exit 3;;
+*-show_frames*still.mkv*) echo '{"frames":[{"key_frame":0,"best_effort_timestamp_time":"0.0"}]}';;
+*-show_frames*) echo '{"frames":[{"key_frame":1,"best_effort_timestamp_time":"0.0"},{"key_frame":0,"best_effort_timestamp_time":"0.5"},{"key_frame":1,"best_effort_timestamp_time":"1.5"},{"key_frame":1,"best_effort_timestamp_time":"1.5"}]}';;
+*) echo '{"streams":[{"codec_name":"h264","width":4,"height":4,"avg_frame_rate":"25/1","r_frame_rate":"25/1"}],"format":{"duration":"3.0"}}';;
+esac
+"""
+DECODER = """case "$*" in
+*-noautorotate*-i*short.mkv*) printf '%048d' 1;;
+*-noautorotate*-i*broken.mkv*) printf '%096d' 1; exit 2;;
+*-noautorotate*-i*) printf '%096d' 1;;
+esac
+"""
+
+
+@pytest.fixture
+def media_folder(tmp_path):
+    root = tmp_path / "media"
+    root.mkdir()
+    for name in ("good.mkv", "lost.mkv", "still.mkv", "short.mkv", "broken.mkv", "x.jpg"):
+        (root / name).write_bytes(b"x" * 9)
+    return root
+
+
+def test_a_bad_asset_leaves_the_others(spark, tmp_path, media_folder):
+    settings = Settings(ffprobe=script(tmp_path, "probe", PROBE), ffmpeg=script(tmp_path, "decoder", DECODER), visual_batch_size=2)
+    store, said = VisualStore(spark, str(tmp_path / "store")), []
+    run = indexing.run(spark, str(media_folder), store, make, settings=settings, say=said.append)
+    assert (run.indexed, run.failed) == (1, 5) and said
+    assert [(p, stage) for p, stage, _ in run.failures] == [("broken.mkv", "sampling"), ("lost.mkv", "probe"), ("short.mkv", "sampling"), ("still.mkv", "sampling"), ("x.jpg", "decode")]
+    assert {stage for _, stage, _ in run.failures} <= set(indexing.STAGES)
+    rows = store.visuals().collect()
+    assert len(rows) == 10 and {r["source_path"] for r in rows} == {"good.mkv"} and {r["timestamp_us"] for r in rows} == {0, 1_500_000}
+    assert not [n for n in os.listdir(tmp_path / "store") if n.startswith(("staged", "pending"))]
+    again = indexing.run(spark, str(media_folder), store, make, settings=settings)
+    assert (again.indexed, again.skipped, again.failed) == (0, 1, 5) and store.visuals().count() == 10
+
+
+def test_a_frame_without_vector_fails_its_asset(spark, tmp_path):
+    seen = [("a", b"abc" * 16), ("b", b"xyz" * 16), ("c", b"abc" * 15)]
+    todo = spark.createDataFrame([(n, "video", f"{n}.mkv", n * 64, 4, 4, None) for n, _ in seen], "path string, media_type string, source_path string, asset_id string, width int, height int, error string")
+    content = dict(seen)
+
+    def frames(path, kind, width, height, probe, decoder):
+        yield 0.0, width, height, content[path]
+
+    def choosy():
+        class Choosy(embedding.HashEmbedder):
+            def embed_images(self, images):
+                if b"xyz" * 16 in map(bytes, images):
+                    raise RuntimeError("no vector for this")
+                return super().embed_images(images)
+
+        return Choosy(8)
+
+    got = indexing.sampled(todo, choosy, Settings(), frames).collect()
+    assert {(r["source_path"], r["stage"], r["error"]) for r in got if r["error"]} == {("b.mkv", "embedding", "no vector for this"), ("c.mkv", "regions", "cannot reshape array of size 45 into shape (4,4,3)")}
+    assert [r["region_kind"] for r in got if r["source_path"] == "a.mkv"] == ["full"] + ["tile"] * 4
+
+
+def test_regions_of_one_frame(spark):
+    sides = [(w, h) for w in (1, 2, 7, 8, 11, 100) for h in (1, 5, 8, 99)]
+    rows = regions.explode_regions(spark.createDataFrame(sides, "width int, height int")).orderBy("width", "height", "region_index").collect()
+    for w, h in sides:
+        own = [(r["region_kind"], r["region"].asDict()) for r in rows if (r["width"], r["height"]) == (w, h)]
+        assert own == regions.region_list(w, h)
+    for bad in ((0.0,), (1.5,)):
+        with pytest.raises(ValueError):
+            regions.regions(F.col("w"), F.col("h"), bad)
+
+
+def test_images_that_cannot_be_read(spark):
+    rows = media.decode_images(spark.createDataFrame([("a.jpg", bytearray(b"no image"), 4, 4)], "path string, content binary, width int, height int")).collect()
+    assert rows[0]["rgb24"] is None and rows[0]["error"].startswith("a.jpg: ")
+
+
+def test_retries_follow_the_service():
+    slept, answers = [], [embedding.ServiceError(429, "7"), embedding.ServiceError(503), ConnectionError("gone"), None]
+
+    def call(part):
+        if (e := answers.pop(0)) is not None:
+            raise e
+        return np.ones((len(part), 1)), 1
+
+    own = lambda: embedding.LimitedEmbedder(Identity("m", 1, 1), call, lambda x: 1, RollingLimiter(100, 3000), lambda: 0.0, slept.append)
+    assert own().embed([1]).tolist() == [[1.0]] and slept == [7.0, 4.0, 8.0]
+    answers[:] = [embedding.ServiceError(400), None]
+    with pytest.raises(embedding.ServiceError):
+        own().embed([1])
+
+
+def test_closing_keeps_the_first_error():
+    closed = []
+
+    class Held:
+        def __init__(self, name, fails=False):
+            self.name, self.fails = name, fails
+
+        def close(self):
+            closed.append(self.name)
+            if self.fails:
+                raise OSError(self.name)
+
+    with pytest.raises(KeyError) as e, closing_all(Held("a"), Held("b", True), object()):
+        raise KeyError("first")
+    assert closed == ["b", "a"] and e.value.__notes__ == ["closing failed too: b"]
+    with pytest.raises(OSError, match="c"), closing_all(Held("c", True), Held("d")):
+        pass
+
+
+def test_index_and_discover_commands(spark, tmp_path, media_folder, capsys, monkeypatch):
+    from reelspark import cli
+
+    for name, value in (("REEL_FFPROBE", script(tmp_path, "probe", PROBE)), ("REEL_FFMPEG", script(tmp_path, "decoder", DECODER)), ("REEL_EMBEDDING__ENGINE", "hash")):
+        monkeypatch.setenv(name, value)
+    store = str(tmp_path / "store")
+    assert cli.main(["index", str(media_folder), "--store", store]) == 1
+    shown = capsys.readouterr()
+    assert shown.out.startswith("Indexed: 1\nSkipped: 0\nFailed: 5\n") and "FAILED lost.mkv [probe]" in shown.out and "1 indexed" in shown.err
+    assert cli.main(["search", "a boat", "--store", store]) == 0
+    assert "1. good.mkv" in capsys.readouterr().out
+    assert cli.main(["index", str(tmp_path / "absent"), "--store", store]) == 1
+    (tmp_path / "s.csv").write_text("id,place,city,country,url\n1,P,C,N,https://a.example\n2,Q,C,N,https://b.example\n")
+    spark.createDataFrame([("1", "https://a.example/x", '<a href="live/index.m3u8">')], "source_id string, url string, html string").write.parquet(str(tmp_path / "pages"))
+    spark.createDataFrame([("1", "https://c.example/seen.m3u8")], "source_id string, url string").write.parquet(str(tmp_path / "requests"))
+    capsys.readouterr()
+    given = ["discover", str(tmp_path / "s.csv"), "--pages", str(tmp_path / "pages"), "--requests", str(tmp_path / "requests")]
+    assert cli.main(given) == 0
+    out = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [(x["id"], [c["stream_url"] for c in x["cameras"]]) for x in out] == [("1", ["https://c.example/seen.m3u8"]), ("2", [])]
+    assert cli.main([*given, "--candidates-only"]) == 0 and "live/index.m3u8" in capsys.readouterr().out
