@@ -1,10 +1,12 @@
 """Main text of web pages by two-pass block rules.
 
 A tokenizer cuts a page into blocks at block-level tags and keeps, for each block, its text, the share of it inside links,
-and the elements it stands in. Pass one decides each block by itself: what stands in menus, headers, footers, sidebars,
-notices, adverts, forms or reader comments is out; of the rest, many links mean out, and length with a high density of stop
-words means in. Blocks of an article or main element that are not out are in. What is left is ambiguous. Pass two gives each
-ambiguous block the label of its nearest decided neighbours: in if the nearer one is in (both, if equally near).
+and what it stands in. Pass one looks at each block by itself: mostly links means out; so many words with so high a
+density of stop words mean in, and so do many words in an article or main element; the rest is ambiguous. What an element says
+of itself is a feature: blocks that stand in menus, headers, footers, sidebars, notices, adverts, forms or reader comments are out however dense, and take no
+part in pass two. There each ambiguous block gets the label of its nearest decided neighbour. Neighbours are looked for in the block's own
+container first (the same article, or what lies outside of any); where two are equally near, an article's block is in, a
+heading goes with what follows, and any other block is in if both are. Without a decided neighbour in its article a block is in.
 
 Text rules: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined
 by a line feed in page order; nothing is capped.
@@ -18,7 +20,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +37,7 @@ HIDDEN = frozenset("script style template noscript head title svg math iframe ob
 RAW = frozenset("script style textarea title template noscript iframe svg math".split())
 OUT = frozenset("nav footer aside form menu dialog fieldset".split())
 INSIDE = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: What an element closes when it opens, fixed values.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 CLOSES |= {x: {"p"} for x in BLOCK - VOID - set(CLOSES) - {"html", "head", "body", "title"}}
@@ -42,6 +48,11 @@ MARKS = frozenset(
     " topbar toolbar comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe subscription"
     " signup login search searchform form toc complementary contentinfo".split()
 )
+#: Words that go with marks in compounds without changing what they say.
+FILLERS = frozenset(
+    "box block container wrapper wrap inner outer area section list item items link links button buttons bar bars left right top bottom main primary secondary slot unit"
+    " panel post posts article articles entry story stories site page global local row col column columns text body content title icon icons group zone region module js u l m".split()
+)
 #: Marks that say nothing inside an article's own header.
 _HEADERS = frozenset(("header", "masthead"))
 STOP_WORDS = frozenset(
@@ -53,50 +64,55 @@ STOP_WORDS = frozenset(
 )
 LINKS_OUT = 0.5
 DENSE = 0.12
-LONG = 15  # words
+#: Words that a dense block needs, and a block of an article of any density.
+SHORT, LONG = 8, 15
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_WORDS = re.compile(r"[A-Za-z]+(?:-[a-z]+)*")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+@lru_cache(maxsize=1 << 16)
+def _mark(token: str) -> frozenset[str]:
+    """The marks of one class, id or role: itself, or the marked parts of a compound of nothing but marks, fillers and numbers."""
+    if token in MARKS:
+        return frozenset((token,))
+    parts = [x for x in re.split(r"[-_]+|(?<=[a-z])(?=[0-9])", token) if x]
+    return frozenset(parts) & MARKS if all(x in MARKS or x in FILLERS or x[0].isdigit() for x in parts) else frozenset()
+
+
 def _marked(name: str, attributes: str, inside: bool) -> bool:
     """Whether an element holds something else than main text."""
     if name in OUT or (name == "header" and not inside):
         return True
-    if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
-    for m in _ATTRIBUTE.finditer(attributes):
+    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden":
+        if key == "hidden" or (key == "style" and _INVISIBLE.search(value)):
             return True
-        if key == "style":
-            if _INVISIBLE.search(value):
-                return True
-        elif key != "aria-label" and name not in ("html", "body", "article", "main"):
-            words = {w for part in value.lower().split() for w in (part, *re.split(r"[-_]+", part))} & MARKS
-            if words - (_HEADERS if inside else frozenset()):
+        if key in ("class", "id", "role") and name not in ("html", "body", "article", "main"):
+            if any(_mark(t) - (_HEADERS if inside else frozenset()) for t in value.lower().split()):
                 return True
     return False
 
 
+@dataclass
 class Block:
-    __slots__ = ("parts", "linked", "out", "inside", "heading")
+    """A block: its text, how many characters of it stand in links, whether in what is out, in which article (0: none), whether it is a heading."""
 
-    def __init__(self, out: bool, inside: bool, heading: bool) -> None:
-        self.parts: list[str] = []
-        self.linked = 0
-        self.out, self.inside, self.heading = out, inside, heading
+    text: str
+    linked: int = 0
+    out: bool = False
+    article: int = 0
+    heading: bool = False
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, stands in what is out, stands in an article) of each block that has text."""
-    found: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, out, inside
+def blocks(page: str) -> list[Block]:
+    """The blocks that have text."""
+    found: list[Block] = []
+    stack: list[tuple[str, bool, int]] = []  # name, and out and inside as they were before it
+    opened: Counter = Counter()  # names in the stack
     parts: list[str] = []
     linked = links = 0
-    out = inside = False
-    hidden_until = None
+    out, inside, articles, heading = False, 0, 0, False
     at = 0
     n = len(page)
 
@@ -105,9 +121,17 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                found.append((text, linked, out, inside))
+                found.append(Block(text, linked, out, inside, heading))
             parts, linked = [], 0
 
+    def close(name: str) -> None:
+        """Leaves the innermost open element of that name and all within it."""
+        nonlocal out, inside
+        top = None
+        while top != name:
+            top, out, inside = stack.pop()
+            opened[top] -= 1
+
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -138,89 +162,105 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         if name not in BLOCK and name not in HIDDEN:
             if name in VOID:
                 continue
-            if not closing and attributes and _marked(name, attributes, inside):
+            if not closing and attributes and _marked(name, attributes, bool(inside)):
                 flush()
                 stack.append((name, out, inside))
+                opened[name] += 1
                 out = True
-            elif closing and any(x[0] == name for x in stack[-3:]):
+            elif closing and opened[name]:
                 flush()
-                while stack:
-                    top, out, inside = stack.pop()
-                    if top == name:
-                        break
+                close(name)
             continue
         flush()
         if name in VOID:
             continue
         if closing:
-            if any(x[0] == name for x in stack):
-                while stack:
-                    top, out, inside = stack.pop()
-                    if top == name:
-                        break
-            links = 0
+            if opened[name]:
+                close(name)
+            links, heading = 0, False
             continue
         gone = CLOSES.get(name)
         if gone:
             while stack and stack[-1][0] in gone:
-                _, out, inside = stack.pop()
+                close(stack[-1][0])
         stack.append((name, out, inside))
+        opened[name] += 1
+        heading = name in HEADINGS
         if not out:
-            out = name in HIDDEN or _marked(name, attributes, inside)
-        if name in INSIDE:
-            inside = True
+            out = name in HIDDEN or _marked(name, attributes, bool(inside))
+        if name in INSIDE and not inside:
+            articles += 1
+            inside = articles
     flush()
     return found
 
 
-def _first_pass(text: str, linked: int, out: bool, inside: bool) -> int:
-    """1 in, 0 out, -1 ambiguous."""
-    if out:
-        return 0
-    if linked > LINKS_OUT * len(text):
-        return 0
-    if inside:
-        return 1
-    words = text.lower().split()
+def first_pass(block: Block) -> tuple[int, str]:
+    """1 in, 0 out, -1 ambiguous, and by what: links, density, length, mark or nothing."""
+    if block.linked > LINKS_OUT * len(block.text):
+        return 0, "links"
+    if block.out:
+        return 0, "mark"
+    words = block.text.lower().split()
     dense = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-    if len(words) >= LONG and dense >= DENSE:
-        return 1
-    if len(words) >= LONG and dense < DENSE / 4 and linked:
-        return 0
-    return -1
+    if len(words) >= SHORT and dense >= DENSE:
+        return 1, "density"
+    if len(words) >= LONG and block.article:
+        return 1, "length"
+    if len(words) >= LONG and dense < DENSE / 4 and block.linked:
+        return 0, "density"
+    return -1, ""
+
+
+def _nearest(given: list[tuple[int, str]], own: list[int], order: range) -> dict[int, int]:
+    """Of each ambiguous one of the blocks in own the position in it of the last decided one before it, in that order."""
+    near, last = {}, None
+    for k in order:
+        if given[own[k]][0] >= 0:
+            last = k
+        elif last is not None:
+            near[k] = last
+    return near
+
+
+def second_pass(found: list[Block], given: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Ambiguous blocks get their neighbours' labels, container by container, in time in proportion to the blocks."""
+    labels = list(given)
+    containers: dict[int, list[int]] = {}
+    for i, block in enumerate(found):
+        if not block.out:
+            containers.setdefault(block.article, []).append(i)
+    anything = any(x[0] == 1 for x in given)
+    for article, own in containers.items():
+        before, after = _nearest(given, own, range(len(own))), _nearest(given, own, range(len(own) - 1, -1, -1))
+        for k, i in enumerate(own):
+            if given[i][0] >= 0:
+                continue
+            b, f = before.get(k), after.get(k)
+            if b is None and f is None:
+                labels[i] = int(bool(article) or not anything), "container"
+                continue
+            if b is None or f is None or k - b != f - k:
+                at = f if b is None or (f is not None and f - k < k - b) else b
+                labels[i] = given[own[at]][0], "neighbour"
+                continue
+            one, two = given[own[b]][0], given[own[f]][0]
+            labels[i] = (one | two) if article else two if found[i].heading else one & two, "neighbour"
+    return labels
+
+
+def labelled(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
+    """The blocks of a page with their labels (1 in, 0 out) and what gave them."""
+    found = blocks(page)
+    return found, second_pass(found, [first_pass(b) for b in found])
 
 
 def main_text(page: str | None) -> str:
     """The main text of a whole page."""
     if not page:
         return ""
-    found = blocks(page)
-    labels = [_first_pass(*b) for b in found]
-    if -1 in labels:
-        before, last = [], None
-        for i, x in enumerate(labels):
-            before.append(last)
-            if x >= 0:
-                last = i
-        following, coming = [None] * len(labels), None
-        for i in range(len(labels) - 1, -1, -1):
-            following[i] = coming
-            if labels[i] >= 0:
-                coming = i
-        settled = list(labels)
-        for i, x in enumerate(labels):
-            if x < 0:
-                b, f = before[i], following[i]
-                if b is None and f is None:
-                    settled[i] = 1  # a page of nothing but short blocks
-                elif b is None or f is None:
-                    settled[i] = labels[f if b is None else b]
-                elif i - b == f - i:
-                    settled[i] = labels[b] & labels[f]
-                else:
-                    settled[i] = labels[b if i - b < f - i else f]
-        labels = settled
-    return "\n".join(b[0] for b, x in zip(found, labels, strict=True) if x)
+    found, labels = labelled(page)
+    return "\n".join(b.text for b, (x, _) in zip(found, labels, strict=True) if x)
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
