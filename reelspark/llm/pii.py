@@ -6,7 +6,8 @@ while keeping for every character of the rewritten text the span of the source t
 rewritten text, and what they find is mapped back to source offsets. A span is added if a transducer changed something inside it
 and no base span of its kind overlaps it, so base spans always stay.
 
-Offsets count code points, ends are exclusive. Each detector takes time in proportion to the text: a run of digits or of
+Spelled digits are rewritten in runs of three digits or numbers and more, an address in words only if it ends in letters, so that prose stays
+as it is. Offsets count code points, ends are exclusive. Each detector takes time in proportion to the text: a run of digits or of
 address characters is never scanned anew from each of its positions.
 
 Edge cases: null text is empty and has no spans; a null doc_id is kept; repeated rows are answered each; other columns are not read.
@@ -16,8 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,130 +96,127 @@ _SPELLED = {
 _NUMBER = "|".join(sorted(_SPELLED, key=lambda w: (-len(w), w)))
 _AT = r"at|arroba|arobase|klammeraffe"
 _DOT = r"dot|punto|punkt|point"
-#: Where a disguise may stand; texts without any are done after the base pass. A plain substring test goes before each costly pattern.
-_ODD = re.compile("[" + re.escape("".join(sorted(set(_ALIKE) - {"–"}))) + "]")
-#: The en dash is common in prose: it counts between digits, beside an @, and as the hyphen of the patterns below.
-_PARTED = re.compile(r"[0-9][ ().-]*+–[ ().–-]*+[0-9]")
-_BRACKETED = re.compile(rf"[\[({{<][ ]?(?:{_AT}|{_DOT}|@|\.)[ ]?[\])}}>]")
-_BARE = re.compile(rf"[a-z0-9] (?:{_AT}) [a-z0-9-]+(?: (?:{_DOT}) |\.)[a-z0-9]")
-_DIGITS = re.compile(rf"\b(?:{_NUMBER})[ ,.-]+(?:{_NUMBER}|[0-9]+)[ ,.-]+(?:{_NUMBER}|[0-9]+)\b")
-_BLANKS = str.maketrans(",.-\n", "    ")
-_NAMES = [f" {w} " for w in _SPELLED]
-_AT_WORDS = [f" {w} " for w in _AT.split("|")]
+#: What the second transducer rewrites: at and dot in brackets, the parts of an address, plus before a number, and runs of three spelled digits or numbers.
+_ITEM, _GAP = rf"(?:\b(?:{_NUMBER})\b|[0-9]+)", "[ ,.-]+"
+_SHAPES = {
+    "brackets": rf"(?P<at>[ ]?[\[({{<][ ]?(?:{_AT}|@)[ ]?[\])}}>][ ]?)|(?P<dot>[ ]?[\[({{<][ ]?(?:{_DOT}|\.)[ ]?[\])}}>][ ]?)",
+    "address": rf"(?P<address>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ (?:{_AT}) [A-Za-z0-9-]+(?:(?: (?:{_DOT}) |\.)[A-Za-z0-9-]+)*(?: (?:{_DOT}) |\.)[A-Za-z]{{2,}}(?![A-Za-z0-9-]))",
+    "plus": rf"(?P<plus>\bplus(?= (?:{_NUMBER}|[0-9])))",
+    "run": rf"(?P<run>(?<![A-Za-z0-9]){_ITEM}(?:{_GAP}{_ITEM}){{2,}}+)",
+}
+_HEAD, _TAIL = re.compile(r"[^\W_]+"), re.compile(r"[^\W_]+\Z")
+
+
+def _may_run(low: str) -> bool:
+    """Whether three items of a run may follow each other: the middle one stands alone between gaps, its neighbours may touch other signs."""
+    words = low.replace(",", " ").replace(".", " ").replace("-", " ").split()
+    for i, w in enumerate(words):
+        if (w in _SPELLED or w.isdigit()) and 0 < i < len(words) - 1:
+            before, after = _TAIL.search(words[i - 1]), _HEAD.match(words[i + 1])
+            if before and after and (before[0] in _SPELLED or before[0][-1].isdigit()) and (after[0] in _SPELLED or after[0][0].isdigit()) and {w, before[0], after[0]} & _SPELLED.keys():
+                return True
+            # A longer run of numbers may have its spelled digit further on: it shows as the middle or neighbour of another three there.
+    return False
 
 
-def disguised(text: str) -> bool:
-    """Whether some transducer may change the text to a point."""
-    low = text.lower()
-    if not text.isascii():
-        if _ODD.search(text):
-            return True
-        if "–" in text:
-            if "@" in text or _PARTED.search(text):
-                return True
-            low = low.replace("–", "-")
-    if any(c in low for c in "([{<") and _BRACKETED.search(low):
-        return True
-    if any(w in low for w in _AT_WORDS) and _BARE.search(low):
-        return True
-    plain = low.translate(_BLANKS)
-    return any(w in plain for w in _NAMES) and bool(_DIGITS.search(low))
-
-
-_TOKEN = re.compile(
-    rf"(?P<at>[ ]?[\[({{<][ ]?(?:{_AT}|@)[ ]?[\])}}>][ ]?)|(?P<dot>[ ]?[\[({{<][ ]?(?:{_DOT}|\.)[ ]?[\])}}>][ ]?)"
-    rf"|(?P<address>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ (?:{_AT}) [A-Za-z0-9-]+(?:(?: (?:{_DOT}) |\.)[A-Za-z0-9-]+)+(?![A-Za-z0-9-]))"
-    rf"|(?P<plus>\bplus(?= (?:{_NUMBER}|[0-9])))|(?P<spelled>\b(?:{_NUMBER})\b)",
-    re.IGNORECASE,
-)
-_INNER = re.compile(rf" (?:(?P<at>{_AT})|(?P<dot>{_DOT})) ", re.IGNORECASE)
+@cache
+def _pattern(shapes: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(_SHAPES[x] for x in shapes), re.IGNORECASE)
 
 
-@dataclass
-class Rewritten:
-    """A rewritten text; for each of its characters where the source span begins and ends, and whether it was changed."""
+def _shapes(text: str) -> tuple[str, ...]:
+    """The shapes that may stand in a text: what none of their occurrences can do without is looked for, so leaving out the others changes nothing."""
+    low = text.casefold()
+    there = {
+        "brackets": any(c in low for c in "([{<"),
+        "address": any(w in low for w in _AT_WORDS),
+        "plus": "plus " in low,
+        "run": _may_run(low),
+    }
+    return tuple(x for x, here in there.items() if here)
 
-    text: list[str] = field(default_factory=list)
-    begins: list[int] = field(default_factory=list)
-    ends: list[int] = field(default_factory=list)
-    changed: list[bool] = field(default_factory=list)
 
-    def put(self, c: str, begin: int, end: int, changed: bool) -> None:
-        self.text.append(c)
-        self.begins.append(begin)
-        self.ends.append(end)
-        self.changed.append(changed)
+_AT_WORDS = [f" {w} " for w in _AT.split("|")]
+_INNER = re.compile(rf" (?:(?P<at>{_AT})|(?P<dot>{_DOT})) ", re.IGNORECASE)
+_SPELLED_WORD = re.compile(rf"\b(?:{_NUMBER})\b", re.IGNORECASE)
+_LOOKS = re.compile("[" + re.escape("".join(sorted(_ALIKE))) + "]")
 
-    def copy(self, other: Rewritten, begin: int, end: int) -> None:
-        self.text += other.text[begin:end]
-        self.begins += other.begins[begin:end]
-        self.ends += other.ends[begin:end]
-        self.changed += other.changed[begin:end]
+
+class Rewritten:
+    """A text after edits (source begin, source end, what stands there: one character or none), and the way back.
+
+    Only the edits are kept, with the place of each in the new text: any offset follows from the last edit before it.
+    """
+
+    def __init__(self, source: str, edits: list[tuple[int, int, str]]) -> None:
+        parts, self.places, self.edits, at, length = [], [], edits, 0, 0
+        for begin, end, put in edits:
+            parts += [source[at:begin], put]
+            length += begin - at
+            self.places.append(length)
+            length += len(put)
+            at = end
+        parts.append(source[at:])
+        self.text = "".join(parts) if edits else source
+
+    def _char(self, c: int) -> tuple[int, int]:
+        """The source span of one character of the new text."""
+        k = bisect_right(self.places, c) - 1
+        if k < 0:
+            return c, c + 1
+        begin, end, put = self.edits[k]
+        if put and self.places[k] == c:
+            return begin, end
+        own = end + c - self.places[k] - len(put)
+        return own, own + 1
+
+    def back(self, s: int, e: int) -> tuple[int, int, bool]:
+        """The source span of a span, and whether an edit stands in it: at its ends only one that put a character there."""
+        low, high = bisect_left(self.places, s), bisect_left(self.places, e)
+        changed = any(self.edits[k][2] or self.places[k] > s for k in range(low, high))
+        return self._char(s)[0], self._char(e - 1)[1], changed
 
 
 def _alike(text: str) -> Rewritten:
-    """The first transducer: characters that look like ASCII ones."""
-    out = Rewritten()
-    for i, c in enumerate(text):
-        d = _ALIKE.get(c, c)
-        if d:
-            out.put(d, i, i + 1, d != c)
-    return out
+    """The first transducer: characters that look like ASCII ones, or like nothing."""
+    return Rewritten(text, [] if text.isascii() else [(m.start(), m.end(), _ALIKE[m[0]]) for m in _LOOKS.finditer(text)])
 
 
-def _words(source: Rewritten) -> Rewritten:
+def _words(text: str) -> Rewritten:
     """The second: spelled digits, and at and dot in brackets or between the parts of an address."""
-    text, out, at = "".join(source.text), Rewritten(), 0
-    begins, ends = source.begins, source.ends
-    spelled_end = -1
-    for m in _TOKEN.finditer(text):
+    edits: list[tuple[int, int, str]] = []
+    shapes = _shapes(text)
+    for m in _pattern(shapes).finditer(text) if shapes else ():
         s, e = m.span()
-        if m["spelled"]:
-            # Blanks, commas and hyphens between two digits that follow each other are dropped.
-            between = text[at:s]
-            if not (spelled_end == at and between and not between.strip(" ,-")):
-                out.copy(source, at, s)
-            out.put(str(_SPELLED[m[0].lower()]), begins[s], ends[e - 1], True)
-            spelled_end = e
+        kind = m.lastgroup
+        if kind == "run":
+            last = -1
+            for w in _SPELLED_WORD.finditer(text, s, e):
+                # Blanks, commas and hyphens between two spelled digits that follow each other are dropped.
+                if last >= 0 and not text[last : w.start()].strip(" ,-"):
+                    edits.append((last, w.start(), ""))
+                edits.append((w.start(), w.end(), str(_SPELLED[w[0].lower()])))
+                last = w.end()
+        elif kind == "address":
+            edits += [(w.start(), w.end(), "@" if w["at"] else ".") for w in _INNER.finditer(text, s, e)]
+        elif kind == "plus":
+            edits += [(s, e, "+"), (e, e + 1, "")]
         else:
-            out.copy(source, at, s)
-            if m["address"]:
-                inner = s
-                for w in _INNER.finditer(text, s, e):
-                    out.copy(source, inner, w.start())
-                    out.put("@" if w["at"] else ".", begins[w.start()], ends[w.end() - 1], True)
-                    inner = w.end()
-                out.copy(source, inner, e)
-            elif m["plus"]:
-                out.put("+", begins[s], ends[e - 1], True)
-                if text[e : e + 1] == " ":
-                    at = e + 1
-                    spelled_end = e + 1
-                    continue
-            else:
-                out.put("@" if m["at"] else ".", begins[s], ends[e - 1], True)
-        at = e
-    out.copy(source, at, len(text))
-    return out
+            edits.append((s, e, "@" if kind == "at" else "."))
+    return Rewritten(text, edits)
 
 
 def deobfuscated(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that show only after rewriting, in source offsets."""
-    if not disguised(text):
+    """Spans that show only after rewriting, in source offsets. No gate stands before: what one passage gives doesn't hang on another."""
+    first = _alike(text)
+    second = _words(first.text)
+    if not first.edits and not second.edits:
         return []
-    new = _words(_alike(text))
-    # A character counts as changed also where the source had more between it and the one before: what was dropped there.
-    marks, gaps, last = [0], [0], 0
-    for c, begin, end in zip(new.changed, new.begins, new.ends, strict=True):
-        marks.append(marks[-1] + c)
-        gaps.append(gaps[-1] + (begin > last))
-        last = end
     added = []
-    for s, kind, e in detect("".join(new.text)):
-        if marks[e] == marks[s] and gaps[e] == gaps[s + 1]:
-            continue
-        begin, end = new.begins[s], new.ends[e - 1]
-        if not any(k == kind and a < end and begin < b for a, k, b in base):
+    for s, kind, e in detect(second.text):
+        begin, end, late = second.back(s, e)
+        begin, end, early = first.back(begin, end)
+        if (late or early) and not any(k == kind and a < end and begin < b for a, k, b in base):
             added.append((begin, kind, end))
     return added
 
