@@ -62,23 +62,23 @@ def dataset_identity(root: str, state: str = ".reelspark") -> str:
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    """All completions in a journal file. Blank lines don't count; a broken last line is ignored; any other fails, with its line number."""
-    # One file is one task here: line numbers are those of the file.
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line")).filter(F.trim(F.col("line")) != "")
-    own = F.from_json("line", COMPLETION, {"mode": "PERMISSIVE"})
-    keys = F.json_object_keys("line")
-    form = F.coalesce(F.array_sort(keys) == F.array(*[F.lit(x) for x in sorted(COMPLETION.names)]), F.lit(False))
-    rows = lines.select("at", own.alias("r"), form.alias("form"))
-    r = F.col("r")
+    """All completions in a journal file. Blank lines don't count; a broken last line is ignored; any other fails here, with its line number.
+
+    A long journal is read by many tasks. A line's place is where its part of the file begins and its place there; the file is checked as a whole before
+    anything is made of it.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line")).alias("place")
+    lines = spark.read.text(path, lineSep="\n").select(place, F.col("value").alias("line"))
+    r = F.from_json("line", COMPLETION, {"mode": "PERMISSIVE"})
+    form = F.coalesce(F.array_sort(F.json_object_keys("line")) == F.array(*[F.lit(x) for x in sorted(COMPLETION.names)]), F.lit(False))
     uuid_like = r["index_instance_id"].rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
-    good = F.coalesce(F.col("form") & (r["schema_version"] == VERSION) & (r["status"] == "completed") & uuid_like & is_asset_id(r["asset_id"]) & is_relative_path(r["source_path"]), F.lit(False))
-    rows = rows.withColumn("good", good)
-    last = rows.agg(F.max("at").alias("last"))
-    rows = rows.crossJoin(F.broadcast(last))  # a single row
-    # The check is part of the value, so that no later filter can pass it by.
-    broken = F.raise_error(F.concat(F.lit(f"corrupt journal {path} at line "), (F.col("at") + 1).cast("string")))
-    rows = rows.select(F.when(F.col("good"), F.col("r")).when(F.col("at") == F.col("last"), F.lit(None)).otherwise(broken).alias("r"))
-    return rows.filter("r is not null").select("r.*")
+    good = F.coalesce(form & (r["schema_version"] == VERSION) & (r["status"] == "completed") & uuid_like & is_asset_id(r["asset_id"]) & is_relative_path(r["source_path"]), F.lit(False))
+    rows = lines.filter(F.trim(F.col("line")) != "").select("place", r.alias("r"), good.alias("good"))
+    ends = rows.agg(F.max("place").alias("last"), F.min(F.when(~F.col("good"), F.col("place"))).alias("bad")).first()
+    if ends["bad"] is not None and ends["bad"] != ends["last"]:
+        before = F.struct(*[F.lit(x).cast("long").alias(n) for n, x in ends["bad"].asDict().items()])
+        raise JournalError(f"corrupt journal {path} at line {lines.filter(F.col('place') <= before).count()}")
+    return rows.filter("good").select("r.*")
 
 
 def completed(spark: SparkSession, path: str, instance: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import point_id
 from ..functions.vectors import check_query
 from ..operators.joins import upserted, without_stale
-from ..operators.ranking import scored, top_k
+from ..operators.ranking import first_of, scored, top_k
 from ..schema import VISUAL, require_valid
 from .journal import checked_uuid, write_json
 
@@ -85,7 +85,7 @@ class VisualStore:
     def upsert(self, visuals: DataFrame, identity: Identity) -> None:
         """Adds visuals, of equal ids the new one; every row is checked before anything is written."""
         new = require_valid(visuals, identity.row()).withColumn("point_id", point_id())
-        new = new.dropDuplicates(["point_id"])
+        new = first_of(new, ["point_id"], [F.xxhash64("vector"), F.col("region.scale")])  # of equal ids always the same one
         assets = new.select("asset_id").distinct()
         # Of the stored rows only those of the assets at hand are read and written again.
         old = self.visuals().join(F.broadcast(assets) if assets.count() <= 100_000 else assets, "asset_id", "left_semi")

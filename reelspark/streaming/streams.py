@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,11 +36,18 @@ def hit_sessions(hits: DataFrame, context_seconds: float, keys: tuple[str, ...]
     return out.drop("w")
 
 
-def best_matches(matches: DataFrame, keys: tuple[str, ...] = ("asset_id", "timestamp_us")) -> DataFrame:
-    """The running best match of each key; the state is one row a key."""
+def best_matches(matches: DataFrame, keys: tuple[str, ...] = ("asset_id", "timestamp_us"), late: str = "10 minutes") -> DataFrame:
+    """The running best match of each key; the state is one row a key.
+
+    A stream's rows come by timestamp_us, and a key that lies further back than late is given up: append mode then gives its best and forgets it.
+    """
     rest = [c for c in matches.columns if c not in keys]
     order = F.struct(-F.col("score"), "source_path", "region_kind", "region.x", "region.y", "region.width", "region.height")
-    return matches.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("best")).select(*keys, "best.*")
+    best = F.min_by(F.struct(*rest), order).alias("best")
+    if matches.isStreaming and "timestamp_us" in keys:
+        own = matches.withColumn("_at", F.timestamp_micros("timestamp_us")).withWatermark("_at", late)
+        return own.groupBy(*keys, "_at").agg(best).select(*keys, "best.*")
+    return matches.groupBy(*keys).agg(best).select(*keys, "best.*")
 
 
 def seen(cameras: DataFrame, key: str = "camera_id", at: str = "ts") -> DataFrame:
@@ -79,6 +87,50 @@ def admissions(requests: DataFrame, key: str, request_limit: int, token_limit: i
     return requests.groupBy(key).applyInPandasWithState(run, out, "times array<long>, costs array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
+def waiting_admissions(rows: DataFrame, key: str, request_limit: int, token_limit: int) -> DataFrame:
+    """When each request of rows(key, request_id, t_us, cost, actual) is admitted: it waits until those before it and the limits let it.
+
+    A row with actual tells what an earlier request really used, which counts from then on in place of its cost; it gives no row. Requests of a batch
+    are taken by time, and none is admitted before one of an earlier batch. The state of a key is the clock and its last minute.
+    """
+
+    def run(own: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        clock, *lists = state.get if state.exists else (0, [], [], [])
+        held = deque(list(r) for r in zip(*lists, strict=True))  # request, time, tokens
+        total = sum(h[2] for h in held)
+        out = []
+        batch = pd.concat(list(parts)).sort_values(["t_us", "request_id"], kind="stable")
+        for request, t, cost, actual in zip(batch["request_id"], batch["t_us"], batch["cost"], batch["actual"], strict=True):
+            clock = max(clock, int(t))
+            if not pd.isna(actual):
+                for h in held:
+                    if h[0] == request:
+                        total += int(actual) - h[2]
+                        h[2] = int(actual)
+                continue
+            if cost > token_limit:
+                raise ValueError(f"a request of {cost} tokens can never be admitted")
+            while True:
+                while held and held[0][1] <= clock - WINDOW_US:
+                    total -= held.popleft()[2]
+                if len(held) < request_limit and total + int(cost) <= token_limit:
+                    break
+                clock = held[0][1] + WINDOW_US
+            held.append([int(request), clock, int(cost)])
+            total += int(cost)
+            out.append((own[0], request, clock))
+        state.update((clock, *([h[i] for h in held] for i in range(3))))
+        yield pd.DataFrame(out, columns=[key, "request_id", "admitted_us"])
+
+    kinds = dict(rows.dtypes)
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, request_id long, admitted_us long", "clock long, requests array<long>, times array<long>, tokens array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def arriving(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
+    """Rows of Parquet files as they come, so many files a batch at most: what follows can't be flooded."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def index_stream(assets: DataFrame, checkpoint: str, handle: Callable[[DataFrame], None], done: Callable[[SparkSession], DataFrame]) -> StreamingQuery:
     """Each batch of new assets less what the journal names goes to handle, which writes visuals, then the journal; a batch that is run again finds its work done."""
 

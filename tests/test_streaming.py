@@ -43,6 +43,31 @@ def test_best_match(spark, tmp_path):
     assert finish(streams.best_matches(feed(spark, tmp_path, rows, kinds, "matches")), "best", "complete").first()["region"]["x"] == 2
 
 
+def test_best_match_forgets(spark, tmp_path):
+    """In append mode a key comes out once the stream is far enough ahead of it."""
+    kinds = "asset_id string, timestamp_us long, source_path string, region_kind string, region struct<x int, y int, width int, height int, scale double>, score double"
+    path = str(tmp_path / "m")
+    for at, s in ((1, 0.2), (1, 0.9), (4_000_000_000, 0.4), (4_000_000_001, 0.1)):
+        spark.createDataFrame([("a", at, "p", "full", (0, 0, 5, 5, 0.5), s)], kinds).coalesce(1).write.mode("append").parquet(path)
+        own = streams.best_matches(streams.arriving(spark, path, kinds, 1))
+        own.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert [(r["timestamp_us"], r["score"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 0.9)]
+
+
+def test_waiting_admissions(spark, tmp_path):
+    """A request waits for the window; what was really used makes room; the state goes on over batches."""
+    minute = 60_000_000
+    kinds = "provider string, request_id long, t_us long, cost long, actual long"
+    batches = [[("p", 1, 0, 600, None), ("p", 2, 10, 500, None)], [("p", 2, minute + 20, 0, 100), ("p", 3, minute + 30, 900, None)], [("p", 4, minute + 40, 900, None), ("q", 9, 5, 1, None)]]
+    path = str(tmp_path / "r")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(path)
+        own = streams.waiting_admissions(streams.arriving(spark, path, kinds, 1), "provider", 5, 1000)
+        own.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {r["request_id"]: r["admitted_us"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: 0, 2: minute, 3: minute + 30, 4: 2 * minute + 30, 9: 5}
+
+
 def test_admissions(spark, tmp_path):
     rows = [("p", i, t * 1_000_000, c) for i, (t, c) in enumerate(((0, 600), (1, 300), (2, 200), (60, 300), (61, 300)))]
     own = streams.admissions(feed(spark, tmp_path, rows, "provider string, request_id long, t_us long, cost long", "requests"), "provider", 3, 1000)
