@@ -98,9 +98,11 @@ _AT = r"at|arroba|arobase|klammeraffe"
 _DOT = r"dot|punto|punkt|point"
 #: What the second transducer rewrites: at and dot in brackets, the parts of an address, plus before a number, and runs of three spelled digits or numbers.
 _ITEM, _GAP = rf"(?:\b(?:{_NUMBER})\b|[0-9]+)", "[ ,.-]+"
+_BRACKETED_AT = rf"[ ]?[\[({{<][ ]?(?:{_AT}|@)[ ]?[\])}}>][ ]?"
+_BRACKETED_DOT = rf"[ ]?[\[({{<][ ]?(?:{_DOT}|\.)[ ]?[\])}}>][ ]?"
 _SHAPES = {
-    "brackets": rf"(?P<at>[ ]?[\[({{<][ ]?(?:{_AT}|@)[ ]?[\])}}>][ ]?)|(?P<dot>[ ]?[\[({{<][ ]?(?:{_DOT}|\.)[ ]?[\])}}>][ ]?)",
-    "address": rf"(?P<address>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ (?:{_AT}) [A-Za-z0-9-]+(?:(?: (?:{_DOT}) |\.)[A-Za-z0-9-]+)*(?: (?:{_DOT}) |\.)[A-Za-z]{{2,}}(?![A-Za-z0-9-]))",
+    "brackets": rf"(?P<at>{_BRACKETED_AT})|(?P<dot>{_BRACKETED_DOT})",
+    "address": rf"(?P<address>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: (?:{_AT}) |{_BRACKETED_AT}|@)[A-Za-z0-9-]+(?:(?: (?:{_DOT}) |{_BRACKETED_DOT}|\.)[A-Za-z0-9-]+)*(?: (?:{_DOT}) |{_BRACKETED_DOT}|\.)[A-Za-z]{{2,}}(?![A-Za-z0-9-]))",
     "plus": rf"(?P<plus>\bplus(?= (?:{_NUMBER}|[0-9])))",
     "run": rf"(?P<run>(?<![A-Za-z0-9]){_ITEM}(?:{_GAP}{_ITEM}){{2,}}+)",
 }
@@ -127,9 +129,10 @@ def _pattern(shapes: tuple[str, ...]) -> re.Pattern:
 def _shapes(text: str) -> tuple[str, ...]:
     """The shapes that may stand in a text: what none of their occurrences can do without is looked for, so leaving out the others changes nothing."""
     low = text.casefold()
+    brackets = any(c in low for c in "([{<")
     there = {
-        "brackets": any(c in low for c in "([{<"),
-        "address": any(w in low for w in _AT_WORDS),
+        "brackets": brackets,
+        "address": brackets or "@" in low or any(w in low for w in _AT_WORDS),
         "plus": "plus " in low,
         "run": _may_run(low),
     }
@@ -137,7 +140,7 @@ def _shapes(text: str) -> tuple[str, ...]:
 
 
 _AT_WORDS = [f" {w} " for w in _AT.split("|")]
-_INNER = re.compile(rf" (?:(?P<at>{_AT})|(?P<dot>{_DOT})) ", re.IGNORECASE)
+_INNER = re.compile(rf"(?P<at> (?:{_AT}) |{_BRACKETED_AT})|(?P<dot> (?:{_DOT}) |{_BRACKETED_DOT})", re.IGNORECASE)
 _SPELLED_WORD = re.compile(rf"\b(?:{_NUMBER})\b", re.IGNORECASE)
 _LOOKS = re.compile("[" + re.escape("".join(sorted(_ALIKE))) + "]")
 
