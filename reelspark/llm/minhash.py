@@ -304,20 +304,22 @@ def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield counted()
 
     found = map_texts(texts, {"text": F.col("text")}, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 2")
-    rows = found.orderBy(F.col("n").desc(), "key").limit(COMMON).collect()
-    keys, n = np.array([r["key"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=np.int64)
+    rows = found.orderBy(F.col("n").desc(), "key").limit(COMMON).toArrow()  # two numbers a row
+    keys, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(keys)
     return keys[order], n[order]
 
 
 #: Buckets of the map of shingles that more than one text has.
 MAP_BITS = 23
+#: Ranges that such maps are joined by.
+SLICES = 32
 
 
 def _shared_map(texts: DataFrame) -> np.ndarray:
     """For each bucket of shingles whether two of the texts or more have one of it: no shared shingle is missed.
 
-    Each task makes a map of fixed size, one task joins them. Where there are very many texts the map fills up, and then
+    Each task makes a map of fixed size and gives it in SLICES parts; parts of one range are joined, each range by a task of its own. Where there are very many texts the map fills up, and then
     spares less work; results don't depend on it.
     """
     size = 1 << MAP_BITS
@@ -330,20 +332,25 @@ def _shared_map(texts: DataFrame) -> np.ndarray:
                 at = _bucket(weighted(text)[0])
                 seen[at] = np.minimum(seen[at] + 1, 2)
         if seen is not None:
-            yield {"one": [zlib.compress(np.packbits(seen > 0).tobytes(), 1)], "two": [zlib.compress(np.packbits(seen > 1).tobytes(), 1)]}
+            one, two = (np.packbits(seen > k).reshape(SLICES, -1) for k in (0, 1))
+            yield {"slice": list(range(SLICES)), "one": [zlib.compress(x.tobytes(), 1) for x in one], "two": [zlib.compress(x.tobytes(), 1) for x in two]}
 
     def join(batches: Iterator[dict]) -> Iterator[dict]:
-        one, two = np.zeros(size // 8, dtype=np.uint8), np.zeros(size // 8, dtype=np.uint8)
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for x, y in zip(batch["one"], batch["two"], strict=True):
+            for part, x, y in zip(batch["slice"], batch["one"], batch["two"], strict=True):
+                one, two = held.setdefault(part, (np.zeros(size // 8 // SLICES, dtype=np.uint8), np.zeros(size // 8 // SLICES, dtype=np.uint8)))
                 a = np.frombuffer(zlib.decompress(x), dtype=np.uint8)
                 two |= np.frombuffer(zlib.decompress(y), dtype=np.uint8) | (one & a)
                 one |= a
-        yield {"two": [two.tobytes()]}
+        yield {"slice": list(held), "two": [two.tobytes() for _, two in held.values()]}
 
-    maps = map_texts(texts, {"text": F.col("text")}, run, "one binary, two binary")
-    row = map_texts(maps.repartition(1), {"one": F.col("one"), "two": F.col("two")}, join, "two binary").first()
-    return np.unpackbits(np.frombuffer(row["two"], dtype=np.uint8)).astype(bool) if row else np.zeros(size, dtype=bool)
+    maps = map_texts(texts, {"text": F.col("text")}, run, "slice int, one binary, two binary")
+    joined = map_texts(maps.repartition(SLICES, "slice"), {c: F.col(c) for c in ("slice", "one", "two")}, join, "slice int, two binary")
+    out = np.zeros((SLICES, size // 8 // SLICES), dtype=np.uint8)
+    for row in joined.collect():  # SLICES rows, a map of fixed size in all
+        out[row["slice"]] = np.frombuffer(row["two"], dtype=np.uint8)
+    return np.unpackbits(out.ravel()).astype(bool)
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -400,10 +407,22 @@ def _rare_buckets(texts: DataFrame, least: float) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """documents with one of each class of near duplicates, all columns as they were."""
-    found = checkpointed(near_duplicates(documents, least))
-    kept = semi(documents, found.filter(~F.col("kept")).select("doc_id"), "doc_id", "left_anti")
-    repeated = checkpointed(documents.select("doc_id").filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    """documents with one of each class of near duplicates, all columns as they were.
+
+    Where an id is repeated, each (doc_id, text) is a document of its own, in that order: unlike texts under one id all stay, and of rows
+    equal in both the one whose JSON comes first. Rows without an id are kept.
+    """
+    repeated = documents.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if repeated.isEmpty():
-        return kept
-    return semi(kept, repeated, "doc_id", "left_anti").unionByName(semi(kept, repeated, "doc_id").dropDuplicates(["doc_id"]))
+        return semi(documents, checkpointed(near_duplicates(documents, least).filter(~F.col("kept")).select("doc_id")), "doc_id", "left_anti")
+    text = F.coalesce(F.sha2("text", 256), F.lit(""))
+    rows = documents.filter(F.col("doc_id").isNotNull())
+    # Numbers that rise with (doc_id, text), fixed by being written.
+    keys = rows.select(F.col("doc_id").alias("_id"), text.alias("_text")).distinct().repartitionByRange("_id", "_text").sortWithinPartitions("_id", "_text")
+    keys = checkpointed(keys.withColumn("_key", F.monotonically_increasing_id()))
+    keyed = rows.withColumn("_hash", text).join(keys, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_text"))).drop("_id", "_text", "_hash")
+    own = checkpointed(keyed.groupBy("_key").agg(F.min_by(F.struct(*documents.columns), F.to_json(F.struct(*documents.columns))).alias("r")).select("_key", "r.*"))
+    gone = checkpointed(near_duplicates(own, least, "_key").filter(~F.col("kept")).select(F.col("doc_id").alias("_key")))
+    return semi(own, gone, "_key", "left_anti").select(*documents.columns).unionByName(documents.filter(F.col("doc_id").isNull()))
+
+
