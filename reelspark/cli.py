@@ -88,12 +88,15 @@ def main(args: Sequence[str] | None = None, engines: dict[str, Callable[[Embeddi
                 print("\n\n".join(r["text"] for r in rendered(results).orderBy("position").collect()))
         elif said.command == "index":
             from .plans import indexing
-            from .plans.embedding import create_embedder
+            from .plans.embedding import create_embedder, divided
             from .sources.store import VisualStore
 
+            # A service's limits hold for all tasks together.
+            tasks = settings.embedding.concurrency if settings.embedding.engine == "api" else None
+            limits = divided(settings.embedding, tasks) if tasks else settings.embedding
             root = said.path or settings.data_dir
             told(f"index: {root}")
-            outcome = indexing.run(spark, root, VisualStore(spark, said.store or settings.data_dir), lambda: create_embedder(settings.embedding, engines), settings=settings, say=told)
+            outcome = indexing.run(spark, root, VisualStore(spark, said.store or settings.data_dir), lambda: create_embedder(limits, engines), settings=settings, say=told, tasks=tasks)
             print(outcome.text())
             return outcome.exit_code
         elif said.command == "discover":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
 from typing import Protocol
 
 import numpy as np
@@ -144,6 +145,14 @@ def create_embedder(settings: EmbeddingSettings, engines: dict[str, Callable[[Em
     raise RuntimeError(f"no engine {settings.engine!r} is registered")
 
 
+def divided(settings: EmbeddingSettings, tasks: int | None = None) -> EmbeddingSettings:
+    """What one of so many tasks (by default as many as may call a service at once) may use of the limits, so that all together keep them."""
+    n = tasks or settings.concurrency
+    if settings.requests_per_minute < n or settings.tokens_per_minute < n:
+        raise ValueError(f"limits are too small for {n} tasks")
+    return replace(settings, requests_per_minute=settings.requests_per_minute // n, tokens_per_minute=settings.tokens_per_minute // n)
+
+
 def embed_column(make: Callable[[], Embedder], kind: str = "texts") -> Callable[[Column], Column]:
     """A column function that embeds; the model is made once a task and fed in Arrow batches."""
 

@@ -125,13 +125,14 @@ def completed_visuals(rows: DataFrame, identity: Identity) -> DataFrame:
 
 def run(
     spark: SparkSession, root: str, store: VisualStore, make: Callable[[], Embedder], decode: Callable[[DataFrame], DataFrame] | None = None, state: str = ".reelspark",
-    settings: Settings | None = None, say: Callable[[str], None] = lambda text: None,
+    settings: Settings | None = None, say: Callable[[str], None] = lambda text: None, tasks: int | None = None,
 ) -> IndexRun:
     """Indexes what isn't done yet: probes, samples, cuts and embeds each pending asset, or takes decode's frames instead.
 
     decode turns pending assets into frames; assets that it can't read have a row with an error. Outcomes are staged in the store, so that an asset
     is decoded once; visuals of assets without failure are then merged in, and the journal is written last. Ids are deterministic: a run that was cut off
-    writes the same ids again. A bad asset becomes a failure that names its stage, and the others go on. say is told how far the run is.
+    writes the same ids again. A bad asset becomes a failure that names its stage, and the others go on. say is told how far the run is. tasks fixes how many
+    tasks embed, each with an embedder of its own: for services whose limits are divided among them.
     """
     settings = settings or Settings()
     identity = make().identity
@@ -145,7 +146,8 @@ def run(
     store.delete_stale(todo.select("source_path", "asset_id"))
     if decode is None:
         probed = media.parse_probe(media.probe(todo, settings.ffprobe)).select("path", "width", "height", "error")
-        rows = sampled(todo.join(probed, "path"), make, settings)
+        ready = todo.join(probed, "path")
+        rows = sampled(ready.repartition(tasks) if tasks else ready, make, settings)
     else:
         frames = decode(todo)
         failed = F.col("error") if "error" in frames.columns else F.lit(None).cast("string")

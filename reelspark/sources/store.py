@@ -90,9 +90,10 @@ class VisualStore:
         # Of the stored rows only those of the assets at hand are read and written again.
         old = self.visuals().join(F.broadcast(assets) if assets.count() <= 100_000 else assets, "asset_id", "left_semi")
         merged = upserted(old, new.select(old.columns))
+        # Ranges rather than hashes of assets: a long video is dealt to many tasks, a short one stays in one file.
         held = os.path.join(self.root, f"pending-{uuid.uuid4().hex}")
         merged.write.parquet(held)  # the rows that replace must not be read from what they replace
-        self.spark.read.schema(merged.schema).parquet(held).repartition("asset_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("asset_id").parquet(self.data)
+        self.spark.read.schema(merged.schema).parquet(held).repartitionByRange("asset_id", "timestamp_us", "point_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("asset_id").parquet(self.data)
         self._drop(held)
 
     def delete_stale(self, current: DataFrame) -> None:

@@ -382,6 +382,15 @@ def test_retries_follow_the_service():
         own().embed([1])
 
 
+def test_limits_are_divided_among_tasks(spark, tmp_path, media_folder):
+    own = EmbeddingSettings(engine="api", requests_per_minute=9, tokens_per_minute=100, concurrency=2)
+    assert (embedding.divided(own).requests_per_minute, embedding.divided(own, 4).tokens_per_minute) == (4, 25)
+    with pytest.raises(ValueError):
+        embedding.divided(own, 10)
+    todo = spark.createDataFrame([(n, "video", n, n * 64, 4, 4, None) for n in "abcdefgh"], "path string, media_type string, source_path string, asset_id string, width int, height int, error string")
+    assert indexing.sampled(todo.repartition(2), make, Settings(), lambda p, *_: iter([(0.0, 4, 4, b"x" * 48)])).rdd.getNumPartitions() == 2
+
+
 def test_closing_keeps_the_first_error():
     closed = []
 
