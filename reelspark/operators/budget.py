@@ -10,6 +10,7 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 WINDOW_US = 60_000_000
 
@@ -31,10 +32,30 @@ def rolling_usage(rows: DataFrame, keys: Sequence[str], cost: str = "cost", orde
     return used.filter(F.col("_span") == span(t)).drop("_span")
 
 
+#: Parts that the range of an order is cut into, so that a key of very many rows is dealt to many tasks.
+PARTS = 256
+
+
 def largest_prefix(rows: DataFrame, keys: Sequence[str], order: str, budget: Column | int, cost: str = "cost") -> DataFrame:
-    """rows with whether they belong to the longest start of their group whose costs fit the budget."""
-    total = F.sum(cost).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("admitted", total <= (F.lit(budget) if isinstance(budget, int) else budget))
+    """rows with whether they belong to the longest start of their group whose costs fit the budget.
+
+    Where the order is a number, its range is cut into parts: the sums of the parts before are added to a running sum within each part.
+    """
+    limit = F.lit(budget) if isinstance(budget, int) else budget
+    running = lambda by: F.sum(cost).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    if not isinstance(rows.schema[order].dataType, NumericType):
+        return rows.withColumn("admitted", running(keys) <= limit)
+    at = F.col(order).cast("double")
+    ends = rows.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
+    low, wide = ends["low"] or 0.0, max((ends["high"] or 0.0) - (ends["low"] or 0.0), 1e-300)
+    part = F.coalesce(F.least(F.floor((at - low) / wide * PARTS), F.lit(PARTS - 1)), F.lit(-1)).cast("int")
+    dealt = rows.withColumn("_part", part)
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum(cost).alias("_sum"))  # PARTS rows a key at most
+    before = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "_part")], F.coalesce(before, F.lit(0)).alias("_before"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, "_part")]
+    dealt = dealt.join(sums, same).withColumn("admitted", F.col("_before") + running([*keys, "_part"]) <= limit)
+    return dealt.select(*rows.columns, "admitted")
 
 
 @dataclass(frozen=True)

@@ -251,6 +251,16 @@ def test_prefix(spark):
     assert [r["admitted"] for r in budget.largest_prefix(rows, ["g"], "i", 8).orderBy("i").collect()] == [True, True, False, False]
 
 
+def test_prefix_of_many_parts(spark):
+    rng = np.random.default_rng(9)
+    rows = [(None if i % 5 == 0 else "ab"[i % 2], float(t), int(c)) for i, (t, c) in enumerate(zip(rng.permutation(400) * 1.5 - 90, rng.integers(0, 9, 400), strict=True))]
+    got = budget.largest_prefix(spark.createDataFrame(rows, "g string, t double, cost long"), ["g"], "t", 200).collect()
+    assert len(got) == 400
+    for r in got:
+        assert r["admitted"] == (sum(c for g, t, c in rows if g == r["g"] and t <= r["t"]) <= 200)
+    assert budget.largest_prefix(spark.createDataFrame([], "g string, t double, cost long"), ["g"], "t", 200).count() == 0
+
+
 def test_merges(spark):
     kinds = "source_path string, asset_id string"
     stored = spark.createDataFrame([("p", "old"), ("p", "new"), ("q", "x")], kinds)
