@@ -1,10 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers are composed over the words of a clause: an insult lexicon and a threat lexicon give weights, target words
-(second person and the like), negations and words of reported speech change the state in which a weighted word is met. What
-is scored is the matched clause: its kind (plain, aimed, negated, reported insult; threat; aimed threat) and the weights of
+The lexicon transducer turns words into classes (insult, threat, target, negation, report) with weights. Four more are composed into
+one machine that reads the classes of a clause: negation (how far one still reaches), report (whether one came before), target (it
+guesses at the start whether the clause is aimed at somebody, and is only final if the guess came true) and
+naming, which writes the kind of each match. Of the paths that accept a clause the best counts. What
+is scored is the matched clause: its kinds (plain, aimed, negated, reported insult; threat; aimed threat) and the weights of
 its words, never a word by itself. A logistic model over the sums by kind and the density of matches gives the score.
 
+Words of threats, targets, negations and reports are fixed; the labelled sample of these corpora shows too few such clauses to learn words
+from, so only what their kinds weigh is learnt.
+
 What is learnt, and from what: the insult lexicon (words and word beginnings with their log-odds) and the weights of the
 kinds, from a bounded sample (SAMPLE_TOXIC and SAMPLE_CLEAN distinct whole texts) of the labelled rows outside the held-out
 fold. Labels are inputs of the fit only; language, source and id are inputs of nothing. Weights of kinds are drawn towards
@@ -18,8 +23,9 @@ answered each; a doc_id with both labels counts as toxic in the fit; other colum
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -44,7 +50,10 @@ REPORTS = frozenset("said says say saying called calls claimed claims wrote quot
 KINDS = ("insult", "aimed insult", "negated insult", "reported insult", "threat", "aimed threat")
 PRIOR = np.array([2.0, 2.5, 0.5, 0.5, 0.3, 2.0, 0.5, -4.0])
 PENALTY = 1.0
+#: Classes of a word, as bits; classes from INSULT on are matches. Then what the machine adds to a word on its way.
 END, TARGET, NEGATION, REPORT, INSULT, THREAT = 1, 2, 4, 8, 64, 128
+CLASSES = (TARGET, NEGATION, REPORT, INSULT, THREAT)
+NEGATED, REPORTED, AIMED = 256, 512, 1024
 #: Words before a match that a negation reaches over.
 REACH = 3
 #: Words whose tags a worker keeps; it bounds memory, not results.
@@ -62,6 +71,100 @@ def forms(word: str) -> set[str]:
     return {word + "$", *(word[:n] for n in BEGINNINGS if n < len(word))}
 
 
+class Transducer:
+    """A weighted finite-state transducer over hashable states and symbols.
+
+    arcs[state][symbol] lists (output, weight, next state); there may be several, and then a word may have several paths. Weights add up
+    along a path; the path of the largest sum that ends in a final state counts.
+    """
+
+    def __init__(self, starts: Iterable, finals: Callable[[Hashable], bool], alphabet: Iterable, step: Callable) -> None:
+        """What can be reached from the starts; step(state, symbol) gives the arcs."""
+        self.starts, self.arcs, self.alphabet = tuple(starts), {}, tuple(alphabet)
+        left = list(self.starts)
+        while left:
+            state = left.pop()
+            if state not in self.arcs:
+                self.arcs[state] = {x: tuple(step(state, x)) for x in self.alphabet}
+                left += [to for ways in self.arcs[state].values() for _, _, to in ways]
+        self.finals = frozenset(x for x in self.arcs if finals(x))
+
+    def outputs(self) -> set:
+        return {out for row in self.arcs.values() for ways in row.values() for out, _, _ in ways}
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: what self writes, other reads; weights add up."""
+
+        def step(state: tuple, symbol: Hashable) -> Iterator[tuple]:
+            for mid, w, p in self.arcs[state[0]][symbol]:
+                for out, v, q in other.arcs[state[1]][mid]:
+                    yield out, w + v, (p, q)
+
+        return Transducer(((p, q) for p in self.starts for q in other.starts), lambda x: x[0] in self.finals and x[1] in other.finals, self.alphabet, step)
+
+    def best(self, symbols: Sequence) -> tuple[float, list] | None:
+        """The weight and the outputs of the best accepting path, of equal ones the first; None if there is none."""
+        front = {x: (0.0, None) for x in self.starts}
+        for symbol in symbols:
+            new: dict = {}
+            for state, (weight, trail) in front.items():
+                for out, w, to in self.arcs[state][symbol]:
+                    if to not in new or weight + w > new[to][0]:
+                        new[to] = weight + w, (out, trail)
+            front = new
+        ends = [front[x] for x in front if x in self.finals]
+        if not ends:
+            return None
+        weight, trail = max(ends, key=lambda e: e[0])
+        out = []
+        while trail is not None:
+            out.append(trail[0])
+            trail = trail[1]
+        return weight, out[::-1]
+
+
+def _negation(alphabet: Iterable[int]) -> Transducer:
+    """Marks words that a negation among the REACH words before them reaches."""
+    return Transducer([0], lambda _: True, alphabet, lambda left, x: [(x | NEGATED if left else x, 0.0, REACH if x & NEGATION else max(0, left - 1))])
+
+
+def _report(alphabet: Iterable[int]) -> Transducer:
+    """Marks words of reported speech: all from the first word of reporting on."""
+    return Transducer([False], lambda _: True, alphabet, lambda on, x: [(x | REPORTED, 0.0, True) if on or x & REPORT else (x, 0.0, False)])
+
+
+def _target(alphabet: Iterable[int]) -> Transducer:
+    """Marks all words of a clause that has a target anywhere: that it has one is guessed before it is met."""
+
+    def step(state: str, x: int) -> list[tuple]:
+        if state == "none":
+            return [] if x & TARGET else [(x, 0.0, "none")]
+        return [(x | AIMED, 0.0, "met" if state == "met" or x & TARGET else "awaited")]
+
+    return Transducer(["none", "awaited"], lambda x: x != "awaited", alphabet, step)
+
+
+def _naming(alphabet: Iterable[int]) -> Transducer:
+    """Writes the kinds (numbers in KINDS) of a marked word; a match weighs one."""
+
+    def kinds(x: int) -> tuple[int, ...]:
+        insult = (3 if x & REPORTED else 2 if x & NEGATED else 1 if x & AIMED else 0,) if x & INSULT else ()
+        return insult + ((5 if x & AIMED else 4,) if x & THREAT and not x & (REPORTED | NEGATED) else ())
+
+    return Transducer([0], lambda _: True, alphabet, lambda s, x: [(kinds(x), float(len(kinds(x))), s)])
+
+
+def clause_machine() -> Transducer:
+    """Negation, report, target and naming as one machine over sets of classes."""
+    machine = _negation(sum(x) for n in range(len(CLASSES) + 1) for x in combinations(CLASSES, n))
+    for build in (_report, _target, _naming):
+        machine = machine.then(build(machine.outputs()))
+    return machine
+
+
+CLAUSE = clause_machine()
+
+
 class Tags(dict):
     """The lexicon transducer: the tag of a word, worked out when it is first met."""
 
@@ -130,20 +233,12 @@ class Grammar:
         return sums, n
 
     def _clause(self, words: list[str], tags: list[int], start: int, end: int, sums: np.ndarray) -> None:
-        """One run of the composed machine: the state holds whether the clause is reported or aimed and how far a negation still reaches."""
-        reported, aimed, reach = False, any(t & TARGET for t in tags[start:end]), 0
-        for i in range(start, end):
-            tag = tags[i]
-            if tag & REPORT:
-                reported = True
-            if tag >= INSULT:
-                if tag & INSULT:
-                    core = words[i].strip(_TRIM)
-                    weight = self.tags.weight(core) or self.tags.weight(core.translate(_LEET))
-                    sums[3 if reported else 2 if reach else 1 if aimed else 0] += weight
-                if tag & THREAT and not reach and not reported:
-                    sums[5 if aimed else 4] += THREAT_WEIGHT
-            reach = REACH if tag & NEGATION else max(0, reach - 1)
+        """One run of the composed machine over the classes of a clause; each match adds its weight to its kind."""
+        _, kinds = CLAUSE.best([t & ~END for t in tags[start:end]])
+        for word, found in zip(words[start:end], kinds, strict=True):
+            for k in found:
+                core = word.strip(_TRIM)
+                sums[k] += THREAT_WEIGHT if KINDS[k].endswith("threat") else self.tags.weight(core) or self.tags.weight(core.translate(_LEET))
 
     def features(self, text: str | None) -> np.ndarray:
         sums, n = self.clauses(text)
