@@ -2,7 +2,7 @@
 
 Each language gets a codeword; each bit of the code has a binary classifier over hashed byte n-grams (a naive Bayes
 log-odds, one weight a bucket) that predicts the bit. A text's margins are decoded to the codeword of the least weighted
-logistic loss; bits whose classifier errs more often on the training sample weigh less. Where the two nearest codewords are
+logistic loss; a bit weighs more the more of its two sides' fitted n-gram mass its classifier's signs get right. Where the two nearest codewords are
 close the answer is flagged as ambiguous.
 
 Training reads only text and language of documents outside the held-out fold, from a bounded sample for each language
@@ -17,7 +17,6 @@ null) and is never learnt from. Repeated rows are answered each; other columns a
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +32,6 @@ BUCKETS = 1 << BITS
 #: Bound of the training sample.
 SAMPLE_PER_LANGUAGE = 1500
 SMOOTHING = 0.5
-_LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 16
 #: Below this score an answer is ambiguous.
 AMBIGUOUS = 0.5
@@ -85,7 +83,7 @@ class CodeModel:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, whether it is ambiguous."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, True
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
