@@ -161,10 +161,12 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of this machine only where it is unset."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, one of this machine in local mode; a cluster must name one that all share."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return named or context._jsc.sc().getCheckpointDir().get()
 
@@ -185,6 +187,37 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Nodes that a task joins before it gives what it has; it bounds memory, not results.
+FOREST_NODES = 1_000_000
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges (a long, b long) that join what the given ones join: of each task's edges a spanning forest, so a dense group leaves no more edges than nodes a task."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := top.setdefault(x, x)) != x:
+                top[x] = x = top[up]
+            return x
+
+        def joined() -> dict:
+            own = [(x, find(x)) for x in list(top)]
+            return {"a": [x for x, y in own if x != y], "b": [y for x, y in own if x != y]}
+
+        for batch in batches:
+            for a, b in zip(batch["a"], batch["b"], strict=True):
+                a, b = find(a), find(b)
+                top[max(a, b)] = min(a, b)
+            if len(top) > FOREST_NODES:
+                yield joined()
+                top.clear()
+        yield joined()
+
+    return map_texts(edges, {"a": F.col("a"), "b": F.col("b")}, run, "a long, b long")
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges(a long, b long): a row (id, component) for each id that has an edge, component the smallest id.
 
@@ -222,6 +255,19 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return checkpointed(home.join(small(least), "to").select("id", "component"))
 
 
+#: Scratch tables made by this process.
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
-    return os.path.join(checkpoint_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    _SCRATCH.append(os.path.join(checkpoint_folder(spark), f"{name}-{uuid.uuid4().hex}"))
+    return _SCRATCH[-1]
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes the scratch tables made by this process. Results read them lazily: call it when those are written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)

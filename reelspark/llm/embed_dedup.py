@@ -8,12 +8,15 @@ Pairs whose upper bound stays below the limit are dropped; all others are recomp
 and only that decides a link.
 
 Candidates share all bits of one of several bands of the code. The bits of a pair at the limit agree with probability
-1 - acos(limit) / pi each; bands are as many as leave a pair at the limit unmet with probability MISS at most. A pair that
-shares several bands is estimated in the first of them alone, so nothing is emitted twice. Bits a band grow with the
-logarithm of the largest label, so that a bucket of unrelated vectors stays small.
+1 - acos(limit) / pi each; bands are as many as leave a pair at the limit unmet with probability MISS at most. Bits a band grow with the
+logarithm of the largest label, so that a bucket of unrelated vectors stays small. What goes with each band is a vector's number, code, planes and
+correction factors, so shuffled bytes grow with the number of bands and not with its square; a pair that several bands let
+through is made distinct before it is recomputed.
 
-Equal vectors of one label are one node from the start, with a count; so exact copies cost nothing. The join on
-(label, band, bits) is an equi-join whose hot keys adaptive execution splits; what passes its condition are pairs that may be links.
+Equal vectors of one label are one node from the start, with a count; so exact copies cost nothing. The join by
+bucket is an equi-join whose hot keys adaptive execution splits; what passes its condition are pairs that may be links. Links are
+added up by node, and each task leaves a spanning forest of its links for the components. Vectors are broadcast to the pairs where their bytes are few
+(BROADCAST_BYTES, from the counted rows), else joined by shuffle.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link with nothing
 and get a row of their own; vectors of different lengths never link; a null vec_id gets a row with null component and links with
@@ -30,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, map_texts, mix
+from .common import checkpointed, connected_components, forest, map_texts, mix
 
 COSINE = 0.93
 #: A pair at the limit shares no band with this probability at most, and is estimated too low with about the same.
@@ -39,6 +42,8 @@ EPSILON = 5.3
 PLANES = 4
 #: Vectors of one label that a bucket holds by chance, about.
 BUCKET = 16
+#: Most bytes of vectors that are broadcast.
+BROADCAST_BYTES = 32 << 20
 _SEED = 20
 
 
@@ -128,20 +133,19 @@ def near_vectors(embeddings: DataFrame, limit: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each vector."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("label"))
     good = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & valid(F.col("vector")))
-    # One node for equal vectors of a label: the least id, how many ids, and a hash that its rows carry.
+    # One node for equal vectors of a label; numbers of nodes are fixed by being written.
     copies = good.select("vec_id", "label", F.sha2(F.array_join(F.transform("vector", lambda x: (x + F.lit(0.0)).cast("string")), ","), 256).alias("same"), "vector")
     copies = checkpointed(copies.distinct())
-    nodes = checkpointed(copies.groupBy("label", "same").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("many"), F.first("vector").alias("vector")))
-    largest = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    links = _node_links(nodes, largest, limit)
-
-    member = copies.select("vec_id", "label", "same").join(nodes.select("label", "same", "node", "many"), ["label", "same"]).select("vec_id", F.concat_ws("/", "label", "same").alias("key"), "node", "many")
-    member = checkpointed(member)
-    size = nodes.select(F.concat_ws("/", "label", "same").alias("key"), "many")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("node_b").alias("node_a"), F.col("node_a").alias("node_b")))
-    others = both.join(size.select(F.col("key").alias("b"), "many"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("many").alias("far"))
-    counted = member.join(others, "key", "left").groupBy("vec_id").agg(F.sum(F.coalesce("far", F.lit(0)) + F.col("many") - 1).alias("n_links"))
-    edges = links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).unionByName(member.select(F.col("vec_id").alias("a"), F.col("node").alias("b")))
+    nodes = copies.groupBy("label", "same").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"), F.first("vector").alias("vector"))
+    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
+    sizes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).agg(F.max("n").alias("largest"), F.sum("n").alias("n"), F.max("d").alias("d")).first()
+    links = node_links(nodes, sizes["largest"] or 0, limit, (sizes["n"] or 0) * (sizes["d"] or 0) * 8)
+
+    member = checkpointed(copies.select("vec_id", "label", "same").join(nodes.select("label", "same", "node", "rep", "many"), ["label", "same"]).select("vec_id", "node", "rep", "many"))
+    far = links.select(F.col("x").alias("node"), F.col("y_many").alias("n")).unionByName(links.select(F.col("y").alias("node"), F.col("x_many").alias("n")))
+    far = far.groupBy("node").agg(F.sum("n").alias("far"))
+    counted = member.join(far, "node", "left").groupBy("vec_id").agg(F.sum(F.coalesce("far", F.lit(0)) + F.col("many") - 1).alias("n_links"))
+    edges = forest(links.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))).unionByName(member.select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
     parts = connected_components(edges).withColumnRenamed("id", "vec_id")
     ids = rows.filter(F.col("vec_id").isNotNull()).select("vec_id").distinct()
     out = ids.join(counted, "vec_id", "left").join(parts, "vec_id", "left")
@@ -151,31 +155,30 @@ def near_vectors(embeddings: DataFrame, limit: float = COSINE) -> DataFrame:
     return out.unionByName(nameless)
 
 
-def _node_links(nodes: DataFrame, largest: int, limit: float) -> DataFrame:
-    """Links between different vectors: (a, b) keys of the nodes, (node_a, node_b) their ids; each once."""
-    keyed = nodes.withColumn("node_id", F.col("node")).withColumn("node", F.xxhash64("label", "same"))
-    keyed = checkpointed(keyed.select("node", "node_id", "label", F.concat_ws("/", "label", "same").alias("key"), "vector"))
+def node_links(nodes: DataFrame, largest: int, limit: float, size: int) -> DataFrame:
+    """Links between different vectors of nodes(node, label, rep, many, vector): x, y (nodes) with what rep and many each has; each link once."""
     bits, bands = band_plan(largest, limit)
-    codes = checkpointed(_encoded(keyed, bits, bands))
+    codes = checkpointed(_encoded(nodes, bits, bands))
     words = codes.agg(F.max(F.size("code")).alias("w")).first()["w"] or 1
     # Shorter vectors get words of zeros after their code and each of their planes, so that all are indexed alike.
     own, zeros = F.size("code"), F.array_repeat(F.lit(0).cast("long"), F.lit(words) - F.size("code"))
     planes = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(PLANES - 1)), lambda j: F.concat(F.slice("planes", j * own + 1, own), zeros)))
     padded = codes.withColumn("planes", F.when(own < words, planes).otherwise(F.col("planes"))).withColumn("code", F.when(own < words, F.concat("code", zeros)).otherwise(F.col("code")))
-    cut = padded.select("node", "label", "d", "keys", "code", "planes", "factor", "low", "step")
-    side = cut.select(F.posexplode("keys").alias("band", "bucket"), "node", "label", "d", "keys", "code", "planes", "factor", "low", "step")
+    # Keys are apart by band already; label and length are part of the bucket too. A chance meeting of buckets only costs an estimate where both are equal.
+    carried = ("node", "group", "d", "code", "planes", "factor", "low", "step")
+    side = padded.withColumn("group", F.xxhash64("label", "d")).select(F.explode("keys").alias("key"), *carried)
+    side = side.withColumn("bucket", F.xxhash64("key", "group")).drop("key")
 
     def named(x: str) -> DataFrame:
-        return side.select("label", "d", "band", "bucket", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "keys", "code", "planes", "factor", "low", "step")])
+        return side.select("bucket", "d", "group", *[F.col(c).alias(f"{x}_{c}") for c in carried if c not in ("d", "group")])
 
     forth, width = _estimate("x_code", "x_factor", "y", words)
     back, width_back = _estimate("y_code", "y_factor", "x", words)
-    met = named("x").join(named("y"), ["label", "d", "band", "bucket"])
-    # Only in the first band that the two share.
-    first = F.array_position(F.zip_with("x_keys", "y_keys", lambda p, q: p == q), True) == F.col("band") + 1
-    near = met.filter((F.col("x_node") < F.col("y_node")) & first & (forth + width >= limit) & (back + width_back >= limit)).select("x_node", "y_node")
-    x = keyed.select(F.col("node").alias("x_node"), F.col("key").alias("a"), F.col("node_id").alias("node_a"), F.col("vector").alias("u"))
-    y = keyed.select(F.col("node").alias("y_node"), F.col("key").alias("b"), F.col("node_id").alias("node_b"), F.col("vector").alias("v"))
+    met = named("x").join(named("y"), ["bucket", "d", "group"])
+    near = checkpointed(met.filter((F.col("x_node") < F.col("y_node")) & (forth + width >= limit) & (back + width_back >= limit)).select(F.col("x_node").alias("x"), F.col("y_node").alias("y")).distinct())
+    of = lambda x: nodes.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"), F.col("rep").alias(f"{x}_rep"), F.col("many").alias(f"{x}_many"), F.col("vector").alias(f"{x}_vector"))
+    sent = (lambda t: F.broadcast(t)) if size <= BROADCAST_BYTES else (lambda t: t)
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
-    exact = near.join(x, "x_node").join(y, "y_node").filter(dot("u", "v") / F.sqrt(dot("u", "u") * dot("v", "v")) >= limit)
-    return checkpointed(exact.select("a", "b", "node_a", "node_b"))
+    u, v = F.col("x_vector"), F.col("y_vector")
+    exact = near.join(sent(of("x")), "x").join(sent(of("y")), "y").filter((F.col("x_label") == F.col("y_label")) & (F.size(u) == F.size(v)))
+    return checkpointed(exact.filter(dot(u, v) / F.sqrt(dot(u, u) * dot(v, v)) >= limit).select("x", "y", "x_rep", "y_rep", "x_many", "y_many"))
