@@ -5,9 +5,9 @@ up a FREQUENT-th of the corpus or more (so FREQUENT words at most) are broadcast
 joined with the counts by shuffle.
 
 The model reads subword ids: each word, marked, is cut into the longest pieces of a public vocabulary, and every id has an embedding
-of its own. Ids are told as symbols: in order of corpus count, with the end at HEAD - 2, so that a symbol's class is the lesser of it and HEAD - 1. The
-output is a distribution over HEAD classes: the most frequent ids over the whole corpus, the end of the text, and one class for the rest, within
-which an id has its share of the corpus count (plus one). Class and id together give a probability for every id, and they sum to one.
+of its own. Ids are told as symbols, numbers in order of corpus count. The output has two levels: a distribution over HEAD classes, OWN of them the
+most frequent ids and the end of the text, the other GROUPS runs of rarer symbols; and within each group a distribution over its members, from the same
+state of the network. Class and member together give a probability for every id of the vocabulary, and they sum to one; no id has a fixed share.
 A text is read in windows of CONTEXT ids that advance by STRIDE: each id is scored exactly once, with CONTEXT - STRIDE ids before it or
 more, by masked attention over a batch of windows.
 
@@ -23,6 +23,7 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
 from array import array
@@ -41,7 +42,9 @@ from .vocabulary import SPACE, Vocabulary, default_path
 #: At most so many words are broadcast, those of a FREQUENT-th of all tokens or more, and of at most WORD_BYTES bytes.
 FREQUENT = 2_000_000
 WORD_BYTES = 64
-HEAD = 128
+#: Classes of one symbol (the last is the end) and of a group of them.
+OWN, GROUPS = 96, 32
+HEAD = OWN + GROUPS
 WIDTH, HIDDEN = 16, 32
 CONTEXT, STRIDE = 32, 16
 #: Bounds of the sample that the weights to start from are fitted to; windows a step.
@@ -99,17 +102,63 @@ class Cutter:
             node, who, end, i = root, None, at, at
 
 
+@dataclass
+class Output:
+    """The second level: where the groups begin in the symbols (one more: where the last ends), and for each symbol the log of its corpus count, less its group's largest."""
+
+    bounds: np.ndarray
+    log_counts: np.ndarray
+
+    def odds(self, group: slice, states: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+        """For each state the odds of the members of a group, not yet divided by their sum."""
+        q = states @ w["V"][group].T
+        q += self.log_counts[group]
+        np.minimum(q, 60, out=q)  # far above any of a trained model; keeps exp finite
+        return np.exp(q, out=q)
+
+    def classes(self, symbols: np.ndarray) -> np.ndarray:
+        """The class of each symbol; symbols below 0 stay."""
+        return np.where(symbols < OWN, symbols, OWN - 1 + np.searchsorted(self.bounds, symbols, side="right"))
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Output:
+        """Groups of symbols by counts (plus one, falling): equal sums of the roots of counts, so that common groups are short and rare ones
+        don't get too long; what was never counted has the last group for itself."""
+        met = int((counts[OWN:] > 1).sum())
+        parts = GROUPS - 1 if met < len(counts) - OWN else GROUPS
+        mass = np.sqrt(counts[OWN : OWN + met] - 1)
+        ends = np.searchsorted(np.cumsum(mass), np.arange(1, parts) / parts * mass.sum())
+        # At least a member each, as far as there are so many.
+        ends = np.minimum(np.maximum.accumulate(np.maximum(ends, np.arange(1, parts))), met)
+        bounds = OWN + np.concatenate(([0], ends, [met], [len(counts) - OWN]))
+        bounds = bounds[: GROUPS + 1] if parts < GROUPS else bounds[:-1]
+        logs = np.log(counts)
+        for begin, end in itertools.pairwise(bounds):
+            logs[begin:end] -= logs[begin:end].max(initial=-np.inf)
+        return cls(bounds, logs.astype(np.float32))
+
+    def groups(self, symbols: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Of the groups that symbols fall in: their members, the places in symbols that fall there, and which member each is."""
+        far = np.flatnonzero(symbols >= OWN)
+        kind = np.searchsorted(self.bounds, symbols[far], side="right") - 1
+        order = np.argsort(kind, kind="stable")
+        far, kind = far[order], kind[order]
+        for part in np.split(np.arange(len(far)), np.flatnonzero(np.diff(kind)) + 1) if len(far) else ():
+            begin, end = self.bounds[kind[part[0]]], self.bounds[kind[part[0]] + 1]
+            yield slice(begin, end), far[part], symbols[far[part]] - begin
+
+
 @dataclass
 class Model:
-    """Symbols of ids, log10 shares within the class of the rest, and the weights of the network. The last embedding is that of the start, never predicted."""
+    """Symbols of ids, the output's second level, and the weights of the network. The last embedding is that of the start, never predicted."""
 
     symbol_of: np.ndarray  # of each id and, last, of the end
-    share: np.ndarray  # log10, 0 for ids with a class of their own
+    output: Output
     weights: dict[str, np.ndarray]
     name: str = ""
 
     def windows(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs (n, CONTEXT), target classes (n, STRIDE) and which targets are real, of one text's symbols."""
+        """Inputs (n, CONTEXT), target symbols (n, STRIDE) and which targets are real, of one text's symbols."""
         n = -(-len(symbols) // STRIDE)
         padded = np.full(n * STRIDE + CONTEXT - STRIDE, -1, dtype=np.int64)
         head = CONTEXT - STRIDE
@@ -117,7 +166,7 @@ class Model:
         padded[head + 1 : head + len(symbols)] = symbols[:-1]
         inputs = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[::STRIDE]
         targets = np.full(n * STRIDE, -1, dtype=np.int64)
-        targets[: len(symbols)] = np.minimum(symbols, HEAD - 1)
+        targets[: len(symbols)] = symbols
         targets = targets.reshape(n, STRIDE)
         return inputs, targets, targets >= 0
 
@@ -133,7 +182,7 @@ def fresh_weights(unigram: np.ndarray, symbols: int = HEAD, seed: int = 7) -> di
         "E": normal(symbols + 1, WIDTH, scale=0.5), "P": normal(CONTEXT, WIDTH, scale=0.1),
         "Wq": normal(WIDTH, WIDTH, scale=s), "Wk": normal(WIDTH, WIDTH, scale=s), "Wv": normal(WIDTH, WIDTH, scale=s), "Wo": normal(WIDTH, WIDTH, scale=s),
         "W1": normal(WIDTH, HIDDEN, scale=s), "b1": np.zeros(HIDDEN, np.float32), "W2": normal(HIDDEN, WIDTH, scale=HIDDEN**-0.5),
-        "U": np.zeros((WIDTH, HEAD), np.float32), "b": unigram.astype(np.float32),
+        "U": np.zeros((WIDTH, HEAD), np.float32), "b": unigram.astype(np.float32), "V": np.zeros((symbols, WIDTH), np.float32),
     }
 
 
@@ -178,7 +227,8 @@ class Scorer:
         self.out = np.ascontiguousarray(np.concatenate([w["U"], w["b"][None, :]]))
         self.ones = np.ones(max(HEAD, CONTEXT), np.float32)
 
-    def logits(self, inputs: np.ndarray) -> np.ndarray:
+    def logits(self, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of the classes and the states they come from."""
         w, n = self.w, len(inputs)
         x = w["E"][inputs]
         x += w["P"]
@@ -201,31 +251,45 @@ class Scorer:
         g = np.empty((len(h), WIDTH + 1), np.float32)
         np.divide(h, np.sqrt((h * h) @ self.ones[:WIDTH] / np.float32(WIDTH) + np.float32(1e-5))[:, None], out=g[:, :WIDTH])
         g[:, WIDTH] = 1
-        return g @ self.out
+        return g @ self.out, g[:, :WIDTH]
 
 
-def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+def gradients(w: dict[str, np.ndarray], output: Output, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean cross entropy over the real targets, and its gradients."""
-    loss, d, rows = sparse_gradients(w, inputs, targets, real)
-    own = np.zeros_like(w["E"])
-    own[rows] = d["E"]
-    return loss, d | {"E": own}
+    loss, d, rows = sparse_gradients(w, output, inputs, targets, real)
+    full = {k: np.zeros_like(w[k]) for k in rows}
+    for k, at in rows.items():
+        full[k][at] = d[k]
+    return loss, d | full
 
 
-def sparse_gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-    """The same, with E's gradients only of the embeddings that are read, and which those are."""
+def sparse_gradients(w: dict[str, np.ndarray], output: Output, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """The same, with gradients only of those rows of E and V that take part, and which those are."""
     logits, s = forward(w, inputs, keep=True)
-    n, mask, t = len(inputs), real.ravel(), np.maximum(targets.ravel(), 0)
+    n, mask, symbols = len(inputs), real.ravel(), np.where(real, targets, 0).ravel()
+    t = output.classes(symbols)
     logits -= logits.max(axis=1, keepdims=True)
     p = np.exp(logits)
     p /= p.sum(axis=1, keepdims=True)
     at = np.arange(len(t))
     total = max(1, int(mask.sum()))
     loss = float(-np.log(np.maximum(p[at, t][mask], 1e-30)).sum() / total)
+    members, changes, inner = [], [], np.zeros_like(s["g"])
+    for group, where, who in output.groups(symbols):
+        states = s["g"][where]
+        q = output.odds(group, states, w)
+        q /= q.sum(axis=1, keepdims=True)
+        own = np.arange(len(who))
+        loss -= float(np.log(np.maximum(q[own, who], 1e-30)).sum() / total)
+        q[own, who] -= 1
+        q /= total
+        members.append(np.arange(group.start, group.stop))
+        changes.append(q.T @ states)
+        inner[where] = q @ w["V"][group]
     p[at, t] -= 1
     p *= (mask / np.float32(total))[:, None].astype(np.float32)
     d: dict[str, np.ndarray] = {"U": s["g"].T @ p, "b": p.sum(axis=0)}
-    dn = p @ w["U"].T
+    dn = p @ w["U"].T + inner
     dg = (dn - s["g"] * (dn * s["g"]).mean(axis=1, keepdims=True)) / s["r"]
     d["W2"] = s["z"].T @ dg
     dz = (dg @ w["W2"].T) * (s["z"] > 0)
@@ -248,7 +312,8 @@ def sparse_gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.n
     order = np.argsort(np.maximum(inputs, 0), axis=None, kind="stable")
     rows, begins = np.unique(np.maximum(inputs, 0).ravel()[order], return_index=True)
     d["E"] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], begins, axis=0)
-    return loss, d, rows
+    d["V"] = np.concatenate(changes) if changes else np.zeros((0, WIDTH), w["V"].dtype)
+    return loss, d, {"E": rows, "V": np.concatenate(members) if members else np.zeros(0, np.int64)}
 
 
 def train(model: Model, texts: list[np.ndarray], steps: int = STEPS, batch: int = BATCH, rate: float = 0.01, seed: int = 11) -> list[float]:
@@ -258,7 +323,7 @@ def train(model: Model, texts: list[np.ndarray], steps: int = STEPS, batch: int
         return []
     inputs, targets, real = (np.concatenate(x) for x in zip(*parts, strict=True))
     rng = np.random.default_rng(seed)
-    adam, losses = Adam(model.weights), []
+    adam, losses = Adam(model.weights, model.output), []
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(inputs), min(batch, len(inputs)))
         losses.append(adam.step(inputs[pick], targets[pick], real[pick], rate * min(1.0, step / 20) * (0.1 + 0.9 * (1 - step / steps))))
@@ -266,19 +331,19 @@ def train(model: Model, texts: list[np.ndarray], steps: int = STEPS, batch: int
 
 
 class Adam:
-    """Steps that change the weights in place; an embedding changes only in steps that read it."""
+    """Steps that change the weights in place; a row of E or V changes only in steps that it takes part in."""
 
-    def __init__(self, weights: dict[str, np.ndarray]) -> None:
-        self.w = weights
+    def __init__(self, weights: dict[str, np.ndarray], output: Output) -> None:
+        self.w, self.output = weights, output
         self.m = {k: np.zeros_like(v) for k, v in weights.items()}
         self.s = {k: np.zeros_like(v) for k, v in weights.items()}
         self.n = 0
 
     def step(self, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, pace: float) -> float:
-        loss, d, rows = sparse_gradients(self.w, inputs, targets, real)
+        loss, d, rows = sparse_gradients(self.w, self.output, inputs, targets, real)
         self.n += 1
         for k, g in d.items():
-            at = rows if k == "E" else slice(None)
+            at = rows.get(k, slice(None))
             m, s = self.m[k][at], self.s[k][at]
             m = m + 0.1 * (g - m)
             s = s + 0.01 * (g * g - s)
@@ -287,21 +352,27 @@ class Adam:
         return loss
 
 
+_TABLES = ("E", "V")
+
+
 def rows_of(weights: dict[str, np.ndarray]) -> np.ndarray:
-    """All weights as rows of WIDTH numbers: the embeddings, then the others one after another, filled up with zeros."""
-    rest = np.concatenate([v.ravel() for k, v in weights.items() if k != "E"])
-    return np.concatenate([weights["E"], np.pad(rest, (0, -len(rest) % WIDTH)).reshape(-1, WIDTH)])
+    """All weights as rows of WIDTH numbers: E, V, then the others one after another, filled up with zeros."""
+    rest = np.concatenate([v.ravel() for k, v in weights.items() if k not in _TABLES])
+    return np.concatenate([*(weights[k] for k in _TABLES), np.pad(rest, (0, -len(rest) % WIDTH)).reshape(-1, WIDTH)])
 
 
 def weights_of(rows: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The opposite of rows_of."""
-    at = len(like["E"])
-    out, rest, begin = {"E": rows[:at].astype(np.float32)}, rows[at:].ravel().astype(np.float32), 0
+    out, at = {}, 0
+    for k in _TABLES:
+        out[k] = rows[at : at + len(like[k])].astype(np.float32)
+        at += len(like[k])
+    rest, begin = rows[at:].ravel().astype(np.float32), 0
     for k, v in like.items():
-        if k != "E":
+        if k not in _TABLES:
             out[k] = rest[begin : begin + v.size].reshape(v.shape).copy()
             begin += v.size
-    return out
+    return {k: out[k] for k in like}
 
 
 def learn(training: DataFrame, shared, path: str, batch: int = BATCH, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
@@ -315,10 +386,10 @@ def learn(training: DataFrame, shared, path: str, batch: int = BATCH, rounds: in
         def run(batches: Iterator[dict], given=given, pace=pace) -> Iterator[dict]:
             (model, often), start = shared.value, given.value
             own_reader = reader(model, path, often)
-            adam = Adam({k: v.copy() for k, v in start.items()})
-            own = Model(model.symbol_of, model.share, adam.w)
+            adam = Adam({k: v.copy() for k, v in start.items()}, model.output)
+            own = Model(model.symbol_of, model.output, adam.w)
             size = len(start["E"])
-            read, targets, rng = np.zeros(size), 0, np.random.default_rng(13)
+            read, met, rng = np.zeros(size), np.zeros(HEAD), np.random.default_rng(13)
             for batch_rows in batches:
                 for part in bounded(batch_rows, size=2 << 20):
                     texts = [own.windows(own_reader.text(tokens(t))[0]) for t in part["text"]]
@@ -328,16 +399,19 @@ def learn(training: DataFrame, shared, path: str, batch: int = BATCH, rounds: in
                     for pick in np.array_split(rng.permutation(len(inputs)), -(-len(inputs) // batch)):
                         adam.step(inputs[pick], goal[pick], real[pick], pace)
                     read += np.bincount(inputs[inputs >= 0], minlength=size)
-                    targets += int(real.sum())
-            if targets:
-                rows = rows_of(adam.w).astype(np.float64)
-                n = np.concatenate([read, np.full(len(rows) - size, float(targets))])
+                    met += np.bincount(model.output.classes(goal[real]), minlength=HEAD)
+            if met.any():
+                rows = rows_of(adam.w)
+                group = np.zeros(len(start["V"]))
+                for i, (begin, end) in enumerate(zip(model.output.bounds[:-1], model.output.bounds[1:], strict=True)):
+                    group[begin:end] = met[OWN + i]
+                n = np.concatenate([read, group, np.full(len(rows) - size - len(group), met.sum())])
                 at = np.flatnonzero(n)
-                yield {"row": at, "n": n[at]} | {c: rows[at, i] * n[at] for i, c in enumerate(names)}
+                yield {"row": at, "n": n[at]} | {c: rows[at, i] for i, c in enumerate(names)}
 
         mine = training.filter(F.pmod(F.xxhash64(F.col("i"), F.lit("round")), F.lit(rounds)) == turn)
-        sums = map_texts(mine, {"text": F.col("text")}, run, "row int, n double, " + ", ".join(f"{c} double" for c in names))
-        found = sums.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n", *names)]).toArrow()
+        sums = map_texts(mine, {"text": F.col("text")}, run, "row int, n double, " + ", ".join(f"{c} float" for c in names))
+        found = sums.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(F.col(c) * F.col("n")).alias(c) for c in names]).toArrow()
         rows = rows_of(weights)
         if found.num_rows:
             rows[found["row"].to_numpy()] = np.stack([found[c].to_numpy() for c in names], axis=1) / found["n"].to_numpy()[:, None]
@@ -346,7 +420,7 @@ def learn(training: DataFrame, shared, path: str, batch: int = BATCH, rounds: in
     return weights
 
 
-def log10_probabilities(model: Model, texts: list[np.ndarray], size: int = 256) -> np.ndarray:
+def log10_probabilities(model: Model, texts: list[np.ndarray], size: int = 512) -> np.ndarray:
     """Of each text's symbols the sum of log10 probabilities, in batches of windows of all texts together."""
     if not texts:
         return np.zeros(0)
@@ -361,15 +435,16 @@ def log10_probabilities(model: Model, texts: list[np.ndarray], size: int = 256)
         at = int(begins[i]) * STRIDE + i * head + head
         line[at] = len(model.weights["E"]) - 1
         line[at + 1 : at + len(t)] = t[:-1]
-        goal[int(begins[i]) * STRIDE : int(begins[i]) * STRIDE + len(t)] = np.minimum(t, HEAD - 1)
+        goal[int(begins[i]) * STRIDE : int(begins[i]) * STRIDE + len(t)] = t
     owner = np.repeat(np.arange(len(texts)), counts)
     first = np.arange(int(begins[-1])) * STRIDE + owner * head
     view = np.lib.stride_tricks.sliding_window_view(line, CONTEXT)
     scorer = Scorer(model.weights)
     for at in range(0, len(first), size):
-        logits = scorer.logits(view[first[at : at + size]])
-        t = goal[at * STRIDE : (at + size) * STRIDE]
-        real = t >= 0
+        logits, states = scorer.logits(view[first[at : at + size]])
+        symbols = goal[at * STRIDE : (at + size) * STRIDE]
+        real = symbols >= 0
+        t = model.output.classes(symbols)
         chosen = logits[np.arange(len(t)), np.maximum(t, 0)].astype(np.float64)
         top = logits.max()
         if top > 60:  # not with trained weights
@@ -377,58 +452,59 @@ def log10_probabilities(model: Model, texts: list[np.ndarray], size: int = 256)
             chosen -= float(top)
         np.exp(logits, out=logits)
         one = np.where(real, chosen - np.log(logits @ scorer.ones[:HEAD]), 0.0)
+        for group, where, who in model.output.groups(symbols):
+            q = model.output.odds(group, states[where], model.weights)
+            one[where] += np.log(q[np.arange(len(who)), who] / q.sum(axis=1, dtype=np.float64))
         np.add.at(out, owner[at : at + size], one.reshape(-1, STRIDE).sum(axis=1))
     return out / _LOG10
 
 
 def build(cutter: Cutter, counts: np.ndarray) -> Model:
-    """Symbols and shares from corpus counts of the ids (last: the end), and untrained weights."""
+    """Symbols and groups from corpus counts of the ids (last: the end), and untrained weights that give each id its share of the counts plus one."""
     order = np.argsort(-counts[:-1], kind="stable")
-    symbol_of = np.full(len(counts), HEAD - 2, dtype=np.uint16)
-    symbol_of[order] = np.delete(np.arange(len(order) + 1), HEAD - 2)[: len(order)]
-    class_of = np.minimum(symbol_of, HEAD - 1)
-    rest = class_of == HEAD - 1
-    mass = counts[rest] + 1.0
-    share = np.zeros(len(counts))
-    share[rest] = np.log10(mass / mass.sum()) if rest.any() else 0.0
-    by_class = np.bincount(class_of, weights=counts, minlength=HEAD) + 1.0
-    return Model(symbol_of, share, fresh_weights(np.log(by_class / by_class.sum()), max(len(counts), HEAD)), uuid.uuid4().hex)
+    end = min(OWN - 1, len(order))
+    symbol_of = np.full(len(counts), end, dtype=np.uint16)
+    symbol_of[order] = np.delete(np.arange(len(order) + 1), end)
+    by_symbol = np.ones(max(len(counts), HEAD))
+    by_symbol[symbol_of] += counts
+    output = Output.of(by_symbol)
+    by_class = np.bincount(output.classes(np.arange(len(by_symbol))), weights=by_symbol, minlength=HEAD)
+    return Model(symbol_of, output, fresh_weights(np.log(np.maximum(by_class, 1e-9) / by_class.sum()), len(by_symbol)), uuid.uuid4().hex)
 
 
 class Reader:
-    """Of words: their symbols, the share of their ids in the class of the rest, and log10 of their count if they are frequent. Keeps what it has met."""
+    """Of words: their symbols, and log10 of their count if they are frequent. Keeps what it has met."""
 
     def __init__(self, cutter: Cutter, model: Model, often: dict[bytes, float]) -> None:
         self.cutter, self.model, self.often = cutter, model, often
-        self.symbols, self.shares = model.symbol_of.tolist(), model.share.tolist()
+        self.symbols = model.symbol_of.tolist()
         self.end = model.symbol_of[-1:].tobytes()
-        self.young: dict[bytes, tuple[bytes, float, float | None]] = {}
-        self.old: dict[bytes, tuple[bytes, float, float | None]] = {}
+        self.young: dict[bytes, tuple[bytes, float | None]] = {}
+        self.old: dict[bytes, tuple[bytes, float | None]] = {}
 
-    def word(self, word: bytes) -> tuple[bytes, float, float | None]:
+    def word(self, word: bytes) -> tuple[bytes, float | None]:
         own = self.old.get(word)
         if own is None:
-            ids, symbols, shares = self.cutter.word(word), self.symbols, self.shares
-            own = array("H", [symbols[i] for i in ids]).tobytes(), sum([shares[i] for i in ids]), self.often.get(word)
+            own = array("H", [self.symbols[i] for i in self.cutter.word(word)]).tobytes(), self.often.get(word)
         if len(word) <= WORD_BYTES:
             if len(self.young) >= KEPT_WORDS:
                 self.young, self.old = {}, self.young
             self.young[word] = own
         return own
 
-    def text(self, words: list[bytes]) -> tuple[np.ndarray, float, Sequence[float], Counter]:
-        """Symbols with the end, sum of shares, log10 counts of the frequent words, and the other words with how often they occur."""
+    def text(self, words: list[bytes]) -> tuple[np.ndarray, Sequence[float], Counter]:
+        """Symbols with the end, log10 counts of the frequent words, and the other words with how often they occur."""
         if not words:
-            return np.frombuffer(self.end, dtype=np.uint16), 0.0, [], Counter()
+            return np.frombuffer(self.end, dtype=np.uint16), [], Counter()
         found = list(map(self.young.get, words))
         if None in found:
             for i, own in enumerate(found):
                 if own is None:
                     found[i] = self.young.get(words[i]) or self.word(words[i])
-        symbols, shares, logs = zip(*found, strict=True)
+        symbols, logs = zip(*found, strict=True)
         rare = Counter([x for x, c in zip(words, logs, strict=True) if c is None]) if None in logs else Counter()
         counts = [c for c in logs if c is not None] if rare else logs
-        return np.frombuffer(b"".join(symbols) + self.end, dtype=np.uint16), sum(shares), counts, rare
+        return np.frombuffer(b"".join(symbols) + self.end, dtype=np.uint16), counts, rare
 
 
 _READER: list[Reader] = []
@@ -516,16 +592,15 @@ def score_documents(documents: DataFrame, model_path: str | None = None, fold: i
         for batch in batches:
             for part in bounded(batch, size=2 << 20):
                 out: dict[str, list] = {k: [] for k in ("uid", "n_tokens", "n_often", "often_sum", "rare", "times")}
-                symbols, shares = [], []
+                symbols = []
                 for text in part["text"]:
                     own = tokens(text)
-                    c, s, known, rare = own_reader.text(own)
+                    c, known, rare = own_reader.text(own)
                     symbols.append(c)
-                    shares.append(s)
                     row += 1
                     for k, v in (("uid", row), ("n_tokens", len(own) + 1), ("n_often", len(known)), ("often_sum", math.fsum(known)), ("rare", list(rare)), ("times", list(rare.values()))):
                         out[k].append(v)
-                score = log10_probabilities(model, symbols) + np.array(shares)
+                score = log10_probabilities(model, symbols)
                 yield out | {"doc_id": part["doc_id"], "held_out": part["held_out"], "score": score.tolist()}
 
     own = F.col("doc_id")
