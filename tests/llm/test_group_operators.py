@@ -124,6 +124,25 @@ def test_a_text_and_its_repetition_in_a_large_bucket(spark, monkeypatch):
     assert want[len(docs)] == len(docs) - 1 and {i: found.get(i, i) for i, _ in docs} == want
 
 
+def test_one_of_each_class_where_ids_repeat(spark):
+    """Unlike texts under one id stay, like ones go whatever their ids; which is left doesn't hang on the order of rows."""
+    one, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one, "en"), (1, other, "en"), (1, one, "de"), (2, one + " more", "en"), (3, "quite another text of its own here", "fr"), (None, one, "en"), (4, None, "en"), (4, "", "en")]
+    want = [(1, one, "de"), (1, other, "en"), (3, rows[4][1], "fr"), (4, "", "en"), (4, None, "en"), (None, one, "en")]
+    for turn in (rows, rows[::-1]):
+        got = [(r["doc_id"], r["text"], r["lang"]) for r in minhash.keep_one(frame(spark, turn)).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_shared_map_joins_ranges(spark):
+    texts = frame(spark, [(i, f"x{i} a b c d e f g {i % 3} h i j k", "en") for i in range(30)]).selectExpr("doc_id as id", "text").repartition(5)
+    counts = {}
+    for r in texts.collect():
+        for h in minhash._bucket(minhash.weighted(r["text"])[0]).tolist():
+            counts[h] = counts.get(h, 0) + 1
+    assert set(np.flatnonzero(minhash._shared_map(texts)).tolist()) == {h for h, n in counts.items() if n > 1}
+
+
 def test_near_duplicates_edge_rows(spark):
     got = minhash.near_duplicates(frame(spark, EDGE)).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted({str(i) for i, _, _ in EDGE}) and all(r["kept"] for r in got)
@@ -165,6 +184,68 @@ def test_leaks_against_containment(spark):
     assert set(leaks(spark, texts, items)) == {(k, i) for k, t in enumerate(texts) for i, x in items if x in t}
 
 
+def test_leaks_without_template_windows(spark):
+    """Items short or dense in numbers and names: word for word at any length, of fewer than three words only as the whole document."""
+    items = [(1, "Who wrote Hamlet in 1600?"), (2, "12 + 7 = 19, 3 + 4 = 7, 20 + 1 = 21, 5 + 6 = 11"), (3, "Paris"), (4, "two words"), (5, "see Tom at 5")]
+    texts = ["so: Who wrote Hamlet in 1600? Nobody.", "Who wrote Faust in 1800?", "sums 12 + 7 = 19, 3 + 4 = 7, 20 + 1 = 21, 5 + 6 = 11 end", "12 + 7 = 19, 3 + 4 = 7, 20 + 1 = 22", "Paris", "in Paris", "Two words.", "two words more", "we see Tom at 5 pm"]
+    assert leaks(spark, texts, items) == {(0, 1): "verbatim", (2, 2): "verbatim", (4, 3): "verbatim", (6, 4): "verbatim", (8, 5): "verbatim"}
+
+
+def brute_leaks(texts, items):
+    """Slot consistency by brute force: all alignments of all pairs, token by token."""
+    found = set()
+    shapes = [decontaminate.template(t) for t in texts]
+    for i, x in items:
+        q, kinds, says = decontaminate.template(x)
+        size = min(decontaminate.WINDOW, len(q))
+        good = [a for a in range(len(q) - size + 1) if (kinds[a : a + size] == 0).sum() >= decontaminate.LITERALS]
+        for k, (t, own, said) in enumerate(shapes):
+            met = set()
+            for shift in range(-len(q), len(t)):
+                here = [a for a in good if a + shift >= 0 and a + shift + size <= len(t) and all(t[a + shift + j] == q[a + j] for j in range(size))]
+                slots = {(int(kinds[a + j]), int(says[a + j]), int(said[a + shift + j])) for a in here for j in range(size) if kinds[a + j]}
+                forth, back = {(a, b) for a, b, _ in slots}, {(a, c) for a, _, c in slots}
+                if len(forth) == len(slots) == len(back):
+                    met |= set(here)
+            longest = max((sum(1 for _ in g) for _, g in itertools.groupby(enumerate(sorted(met)), lambda p: p[1] - p[0])), default=-size)
+            if good and met and (len(met) / len(good) >= decontaminate.COVERAGE or longest + size - 1 >= decontaminate.LONG_RUN):
+                found.add((k, i))
+    return found
+
+
+def test_leaks_against_all_alignments(spark):
+    rng = random.Random(8)
+    names, words = ["Tom", "Mary", "Jim", "Anna", "Bob"], ["gives", "takes", "apples", "pears", "market", "walks", "home", "then", "the", "with"]
+    draw = lambda n: " ".join(rng.choice([rng.choice(words)] * 5 + [rng.choice(names), str(rng.randint(1, 30)), f"{rng.randint(1, 9)} km"]) for _ in range(n))
+    items = [(i, draw(rng.randint(16, 40))) for i in range(12)]
+    texts = []
+    for _ in range(60):
+        own = rng.choice(items)[1].split()
+        new = {w: rng.choice(names) if w in names else str(rng.randint(1, 30)) for w in set(own) if w in names or w.isdigit()}
+        own = [new.get(w, w) if rng.random() < 0.97 else w for w in own][: rng.randint(6, 40)]
+        texts.append(f"{draw(rng.randint(1, 6))} {' '.join(own)} {draw(rng.randint(0, 6))}")
+    want = brute_leaks(texts, items)
+    assert 5 < len(want) < 60 and set(leaks(spark, texts, items)) == want
+
+
+@pytest.mark.parametrize("size", [5, 17, 64])
+def test_templates_do_not_hang_on_pieces(monkeypatch, size):
+    from reelspark.llm import common
+
+    rng = random.Random(size)
+    for _ in range(60):
+        text = "".join(rng.choice(["word ", "Tom ", "5 ", "km ", "kg\n", "3.5 ", "Éa ", ". ", "! Mary ", "12:30 ", "\n\n", "  "]) for _ in range(rng.randint(0, 60)))
+        whole = decontaminate.template(text)
+        with monkeypatch.context() as m:
+            m.setattr(common, "_SEGMENT", size)
+            assert all((a == b).all() and len(a) == len(b) for a, b in zip(decontaminate.template(text), whole, strict=True))
+
+
+def test_long_texts_match_at_every_offset(spark):
+    texts = ["word " * n + ITEM for n in (0, 26205, 26210, 26213, 26215, 26218, 26240)]
+    assert leaks(spark, texts, [(1, ITEM)]) == {(k, 1): "verbatim" for k in range(len(texts))}
+
+
 # Vectors
 
 
