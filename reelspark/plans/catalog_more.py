@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +17,18 @@ from .adapters import VISUALS, query_vector, table, visuals
 from .catalog import query
 
 
-def pick(key: str, *values: str | None) -> tuple[Column, str]:
-    """The value that a key's remainder picks, as a column and as SQL; {k} in a value is the key."""
+def pick(key: str, *values: str | None) -> tuple[Callable[[], Column], str]:
+    """The value that a key's remainder picks, as what makes a column (which needs a session) and as SQL; {k} in a value is the key."""
     n = len(values)
     text = f"CASE {key} % {n} " + " ".join(f"WHEN {i} THEN " + ("NULL" if v is None else "'" + v.replace("'", "''").replace("{k}", f"' || {key} || '") + "'") for i, v in enumerate(values)) + " END"
-    column = F.lit(None).cast("string")
-    for i, v in enumerate(values):
-        parts = [F.lit(None).cast("string")] if v is None else [x for p in v.split("{k}") for x in (F.lit(p), F.col(key).cast("string"))][:-1]
-        column = F.when(F.col(key) % n == i, F.concat(*parts)).otherwise(column)
+
+    def column() -> Column:
+        out = F.lit(None).cast("string")
+        for i, v in enumerate(values):
+            parts = [F.lit(None).cast("string")] if v is None else [x for p in v.split("{k}") for x in (F.lit(p), F.col(key).cast("string"))][:-1]
+            out = F.when(F.col(key) % n == i, F.concat(*parts)).otherwise(out)
+        return out
+
     return column, text
 
 
@@ -31,7 +37,7 @@ _FLAG, _FLAG_SQL = pick("c_custkey", None, " ", "No", "OFF ", "yes", "0", "False
 
 @query(f"SELECT c_custkey, coalesce(lower(trim({_FLAG_SQL})), '') NOT IN ('0', 'false', 'no', 'off', 'disabled') AS enabled FROM customer")
 def enabled_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", strings.is_enabled(_FLAG).alias("enabled"))
+    return table(spark, sf_dir, "customer").select("c_custkey", strings.is_enabled(_FLAG()).alias("enabled"))
 
 
 _SITE, _SITE_SQL = pick(
@@ -41,7 +47,7 @@ _SITE, _SITE_SQL = pick(
 
 @query(f"WITH h AS (SELECT c_custkey, lower(split_part(regexp_extract({_SITE_SQL}, '^[A-Za-z]+://([^/?#]*)', 1), ':', 1)) AS h FROM customer) SELECT c_custkey, h IN ('youtu.be', 'youtube.com') OR ends_with(h, '.youtube.com') AS youtube FROM h")
 def youtube_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", urls.is_youtube(_SITE).alias("youtube"))
+    return table(spark, sf_dir, "customer").select("c_custkey", urls.is_youtube(_SITE()).alias("youtube"))
 
 
 _LIST, _LIST_SQL = pick(
@@ -55,7 +61,7 @@ _BLOCKED = " OR ".join(f"h = '{s}' OR ends_with(h, '.{s}')" for s in urls.BLOCKE
 p AS (SELECT *, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS s, lower(regexp_replace(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1), ':[0-9]*$', '')) AS h, lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)) AS path FROM u)
 SELECT c_custkey, s IN ('http', 'https') AND h <> '' AND ends_with(path, '.m3u8') AND NOT ({_BLOCKED}) AS admissible FROM p""")
 def admissible_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", urls.is_playlist(_LIST).alias("admissible"))
+    return table(spark, sf_dir, "customer").select("c_custkey", urls.is_playlist(_LIST()).alias("admissible"))
 
 
 _PAGE, _PAGE_SQL = pick(
@@ -70,7 +76,7 @@ c AS (SELECT c_custkey, regexp_replace(replace(replace(raw, '\\/', '/'), '&amp;'
 j AS (SELECT c_custkey, CASE WHEN u LIKE 'http%://%' THEN u WHEN u LIKE '//%' THEN 'https:' || u WHEN u LIKE '/%' THEN 'https://site.example' || u ELSE 'https://site.example/view/' || u END AS url FROM c WHERE NOT regexp_matches(lower(u), '^https?%3a%2f%2f'))
 SELECT DISTINCT c_custkey AS source_id, url FROM j WHERE url NOT LIKE 'https://youtu.be/%'""")
 def static_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id"), F.lit("https://site.example/view/page.html").alias("url"), _PAGE.alias("html"))
+    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id"), F.lit("https://site.example/view/page.html").alias("url"), _PAGE().alias("html"))
     return discovery.page_urls(pages)
 
 
@@ -135,7 +141,7 @@ w AS (SELECT CASE WHEN regexp_matches(id, '^[0-9]+\\.0$') THEN (k)::VARCHAR ELSE
 SELECT *, {" || '/' || ".join(f"coalesce(nullif(trim(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'unknown')" for c in ("country", "city", "place"))} AS slug FROM w""")
 def source_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as a source list in both forms at once: canonical columns first, older ones where those are empty."""
-    rows = table(spark, sf_dir, "customer").select(_ID.alias("id"), F.col("c_name").alias("place"), _CITY.alias("city"), F.col("c_mktsegment").alias("country"), _URL.alias("url"), _LINK.alias("Link"), _FLAG.alias("enabled"))
+    rows = table(spark, sf_dir, "customer").select(_ID().alias("id"), F.col("c_name").alias("place"), _CITY().alias("city"), F.col("c_mktsegment").alias("country"), _URL().alias("url"), _LINK().alias("Link"), _FLAG().alias("enabled"))
     return lists.canonical(rows).drop("description")
 
 
@@ -156,7 +162,7 @@ _HEADER, _HEADER_SQL = pick("o_orderkey", "7", "-3", None, "soon", "2.5", "{k}")
 
 @query(f"SELECT o_orderkey, CASE WHEN try_cast({_HEADER_SQL} AS DOUBLE) IS NOT NULL THEN greatest(0.0, try_cast({_HEADER_SQL} AS DOUBLE)) ELSE least(30.0::DOUBLE, pow(2.0, 1 + o_custkey % 7)) END AS delay FROM orders")
 def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", times.retry_delay(_HEADER, 1 + F.col("o_custkey") % 7).alias("delay"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", times.retry_delay(_HEADER(), 1 + F.col("o_custkey") % 7).alias("delay"))
 
 
 @query("SELECT page_id, CASE WHEN url LIKE 'https://%' THEN url[8:] END AS below, CASE WHEN url LIKE 'https://%' THEN url[8:] ELSE url END AS shown FROM pages")

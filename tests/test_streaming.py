@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
@@ -103,6 +106,14 @@ def test_catalogue_is_complete():
     assert set(sql) <= set(own) and "semantic_search" in own and all(callable(f) for f in own.values())
 
 
+def test_registry_needs_no_session():
+    """Names and SQL can be read before there is a session."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True)
+    every, with_sql = map(int, done.stdout.split()[-2:])
+    assert every >= with_sql >= 67
+
+
 def test_outcome(spark):
     from reelspark.operators.cameras import outcome
 
