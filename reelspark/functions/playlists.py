@@ -53,7 +53,7 @@ def explode_variants(playlists: DataFrame) -> DataFrame:
     uris = F.regexp_extract_all("text", F.lit(_URI), F.lit(1))
     parts = F.split("text", _URI)
     # The part behind the last uri has no partner and is left out by the null test.
-    of = F.flatten(F.zip_with(parts, uris, lambda part, uri: F.transform(F.when(uri.isNull(), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(part, F.lit(_VARIANT), F.lit(1))), lambda tag: F.struct(tag.alias("tag"), F.regexp_replace(uri, r"\s+$", "").alias("uri")))))
+    of = F.flatten(F.zip_with(parts, uris, lambda part, uri: F.transform(F.when(uri.isNull(), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(part, F.lit(_VARIANT), F.lit(1))), lambda tag: F.struct(tag.alias("tag"), F.rtrim(uri, F.lit(" \t\x0b\x0c")).alias("uri")))))
     root, folder = base_parts(F.col("url"))
     rows = playlists.select("url", root.alias("root"), folder.alias("folder"), F.posexplode(of).alias("position", "v"))
     base = ["url", "position", "root", "folder"]

@@ -424,7 +424,8 @@ def best_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written as master playlists, one line a variant, and read again."""
     own = table(spark, sf_dir, "lineitem")
     q = F.col("l_quantity").cast("long")
-    line = F.format_string('#EXT-X-STREAM-INF:BANDWIDTH=%d,CODECS="a,b",RESOLUTION=%dx%d\n%d/v.m3u8', F.round("l_extendedprice").cast("long"), q * 16, q * 9, "l_linenumber")
+    parts = ("#EXT-X-STREAM-INF:BANDWIDTH=", F.round("l_extendedprice").cast("long"), ',CODECS="a,b",RESOLUTION=', q * 16, "x", q * 9, "\n", F.col("l_linenumber"), "/v.m3u8")
+    line = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     lists = own.groupBy("l_orderkey").agg(F.concat(F.lit("#EXTM3U\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda r: r["t"]), "\n")).alias("text"))
     lists = lists.withColumn("url", F.concat(F.lit("https://cdn.example/"), F.col("l_orderkey").cast("string"), F.lit("/master.m3u8")))
     best = playlists.best_variant(playlists.explode_variants(lists), "url")
