@@ -79,16 +79,16 @@ def videos(matches: DataFrame, visuals: DataFrame, query: Sequence[float], setti
     )
 
 
-def search(visuals: DataFrame, query: Sequence[float], limit: int | None = None, settings: SearchSettings | None = None) -> DataFrame:
-    """Ranked photos and passages for a query vector."""
+def search(visuals: DataFrame, query: Sequence[float], limit: int | None = None, settings: SearchSettings | None = None, exhaustive: bool = False) -> DataFrame:
+    """Ranked photos and passages for a query vector; if exhaustive, every visual is a candidate and nothing is fetched before the results."""
     settings = settings or SearchSettings()
     wanted = settings.result_limit if limit is None else limit
     if isinstance(wanted, bool) or not isinstance(wanted, int) or wanted <= 0:
         raise ValueError("limit must be a positive integer")
     own = check_query(query)
-    candidates, _ = overfetched(visuals, own, wanted, settings)
-    # Candidates are bounded by the hard limit, and so are the windows that they open: they may be broadcast.
-    found = photos(candidates).unionByName(videos(candidates, visuals, own, settings))
+    candidates = scored(visuals, own).drop("vector") if exhaustive else overfetched(visuals, own, wanted, settings)[0]
+    # Fetched candidates are bounded by the hard limit, and so are the windows that they open: they may be broadcast. Others are counted.
+    found = photos(candidates).unionByName(videos(candidates, visuals, own, settings, few=None if exhaustive else True))
     return found.orderBy(*result_order()).limit(wanted)
 
 

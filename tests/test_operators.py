@@ -159,6 +159,27 @@ def test_search_orders_equals_by_path(spark):
     assert [r["source_path"] for r in searching.search(visuals(spark, rows), [1.0, 0.0, 0.0]).collect()] == ["a.mkv", "b.mkv"]
 
 
+def test_semantic_search_takes_every_visual_as_candidate(spark, tmp_path):
+    # Seventy videos whose 2100 best rows stand alone among bad ones: their passages lie elsewhere and score near 0. Ten others are level at 0.3.
+    import duckdb
+
+    from reelspark.plans import catalog
+
+    def score(asset, second):
+        if asset >= 70:
+            return 0.3 + 0.001 * (asset - 70) + 0.0001 * (second % 7)
+        return (0.5 if second % 3 == 0 else -0.9) if second < 45 else 0.001 * (second % 5)
+
+    at = [a for a in range(200) if a % 5 != 4][:80]
+    rows = [(100 * a + 2 * t + tile, direction(1.0 if a + t + tile == 0 else score(i, t) - 0.00001 * tile)[:2], 0) for i, a in enumerate(at) for t in range(50) for tile in (0, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = [tuple(r) for r in catalog.semantic_search(spark, str(tmp_path)).collect()]
+    assert got == db.sql(catalog.ORACLES["semantic_search"]).fetchall()
+    assert {r[0] for r in got} == {f"media/asset-{a}.mkv" for a in at[70:]}
+
+
 def test_bad_vector_fails_the_search(spark):
     rows = [(hit("a", 5, 0), [0.0, 0.0, 0.0])]
     with pytest.raises(Exception, match="vectors must be"):
