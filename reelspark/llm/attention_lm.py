@@ -109,6 +109,10 @@ class Output:
     bounds: np.ndarray
     log_counts: np.ndarray
 
+    def __post_init__(self) -> None:
+        symbols = np.arange(len(self.log_counts))
+        self._class = np.where(symbols < OWN, symbols, OWN - 1 + np.searchsorted(self.bounds, symbols, side="right")).astype(np.uint8)
+
     def odds(self, group: slice, states: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
         """For each state the odds of the members of a group, not yet divided by their sum."""
         q = states @ w["V"][group].T
@@ -118,7 +122,7 @@ class Output:
 
     def classes(self, symbols: np.ndarray) -> np.ndarray:
         """The class of each symbol; symbols below 0 stay."""
-        return np.where(symbols < OWN, symbols, OWN - 1 + np.searchsorted(self.bounds, symbols, side="right"))
+        return np.where(symbols < 0, symbols, self._class.take(symbols, mode="clip"))
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Output:
@@ -140,12 +144,15 @@ class Output:
     def groups(self, symbols: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """Of the groups that symbols fall in: their members, the places in symbols that fall there, and which member each is."""
         far = np.flatnonzero(symbols >= OWN)
-        kind = np.searchsorted(self.bounds, symbols[far], side="right") - 1
+        kind = self._class.take(symbols[far])
         order = np.argsort(kind, kind="stable")
         far, kind = far[order], kind[order]
-        for part in np.split(np.arange(len(far)), np.flatnonzero(np.diff(kind)) + 1) if len(far) else ():
-            begin, end = self.bounds[kind[part[0]]], self.bounds[kind[part[0]] + 1]
-            yield slice(begin, end), far[part], symbols[far[part]] - begin
+        goal, at = symbols[far], 0
+        for end in [*(np.flatnonzero(kind[1:] != kind[:-1]) + 1).tolist(), len(far)] if len(far) else ():
+            i = int(kind[at]) - OWN
+            begin = int(self.bounds[i])
+            yield slice(begin, int(self.bounds[i + 1])), far[at:end], goal[at:end] - begin
+            at = end
 
 
 @dataclass
@@ -189,32 +196,53 @@ def fresh_weights(unigram: np.ndarray, symbols: int = HEAD, seed: int = 7) -> di
 _CAUSAL = np.where(np.arange(CONTEXT)[None, :] <= np.arange(STRIDE)[:, None] + CONTEXT - STRIDE, 0.0, -1e9).astype(np.float32)
 
 
+def _sums(rows: np.ndarray) -> np.ndarray:
+    """Sums of the last axis, as a product, kept as an axis."""
+    return (rows.reshape(-1, rows.shape[-1]) @ np.ones((rows.shape[-1], 1), rows.dtype)).reshape(*rows.shape[:-1], 1)
+
+
+def _exp(rows: np.ndarray, *masks: np.ndarray) -> np.ndarray:
+    """exp in place, 0 where masks say so. Rows are shifted by their largest, which changes no share, only if there are values that need it."""
+    wild = rows.size > 0 and not (rows.max() < 60 and rows.min() > -60)
+    for mask in masks:
+        rows += mask
+    if wild:
+        rows -= rows.max(axis=-1, keepdims=True)
+    return np.exp(rows, out=rows)
+
+
 def forward(w: dict[str, np.ndarray], inputs: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict | None]:
     """Logits (n * STRIDE, HEAD) of the ids that follow the last STRIDE inputs of each window."""
     n = len(inputs)
-    x = w["E"][inputs] + w["P"]
+    x = w["E"].take(inputs, axis=0)
+    x += w["P"]
     flat = x.reshape(-1, WIDTH)
-    own = np.ascontiguousarray(x[:, CONTEXT - STRIDE :])
-    q = (own.reshape(-1, WIDTH) @ (w["Wq"] * np.float32(WIDTH**-0.5))).reshape(n, STRIDE, WIDTH)
-    k, v = (flat @ w["Wk"]).reshape(x.shape), (flat @ w["Wv"]).reshape(x.shape)
-    a = q @ k.transpose(0, 2, 1)
-    a += _CAUSAL
-    if (inputs[:, 0] < 0).any():
-        a += np.where(inputs < 0, np.float32(-1e9), np.float32(0))[:, None, :]
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    c = (a @ v).reshape(-1, WIDTH)
-    h = own.reshape(-1, WIDTH) + c @ w["Wo"]
+    own = np.ascontiguousarray(x[:, CONTEXT - STRIDE :]).reshape(-1, WIDTH)
+    pairs = np.concatenate([w["Wk"], w["Wv"]], axis=1)
+    q = (own @ (w["Wq"] * np.float32(WIDTH**-0.5))).reshape(n, STRIDE, WIDTH)
+    kv = (flat @ pairs).reshape(n, CONTEXT, 2 * WIDTH)
+    a = q @ kv[:, :, :WIDTH].transpose(0, 2, 1)
+    _exp(a, _CAUSAL, *([np.where(inputs < 0, np.float32(-1e9), np.float32(0))[:, None, :]] if (inputs[:, 0] < 0).any() else []))
+    a /= _sums(a)
+    c = (a @ kv[:, :, WIDTH:]).reshape(-1, WIDTH)
+    h = c @ w["Wo"]
+    h += own
     z = h @ w["W1"]
     z += w["b1"]
     np.maximum(z, 0, out=z)
-    g = h + z @ w["W2"]
-    r = np.sqrt((g * g).mean(axis=1, keepdims=True) + np.float32(1e-5))
-    g /= r
-    logits = g @ w["U"]
-    logits += w["b"]
-    return logits, {"own": own, "flat": flat, "q": q, "k": k, "v": v, "a": a, "c": c, "h": h, "z": z, "g": g, "r": r} if keep else None
+    raw = z @ w["W2"]
+    raw += h
+    r = _sums(raw * raw)
+    r /= WIDTH
+    r += np.float32(1e-5)
+    np.sqrt(r, out=r)
+    # A column of ones goes with the state: the bias is a row of the product.
+    state = np.empty((len(raw), WIDTH + 1), raw.dtype)
+    g = np.divide(raw, r, out=raw)
+    state[:, :WIDTH] = g
+    state[:, WIDTH] = 1
+    logits = state @ np.concatenate([w["U"], w["b"][None, :]])
+    return logits, {"own": own, "flat": flat, "pairs": pairs, "q": q, "kv": kv, "a": a, "c": c, "h": h, "z": z, "g": g, "state": state, "r": r} if keep else None
 
 
 class Scorer:
@@ -230,7 +258,7 @@ class Scorer:
     def logits(self, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Logits of the classes and the states they come from."""
         w, n = self.w, len(inputs)
-        x = w["E"][inputs]
+        x = w["E"].take(inputs, axis=0)
         x += w["P"]
         own = np.ascontiguousarray(x[:, CONTEXT - STRIDE :]).reshape(-1, WIDTH)
         kv = (x.reshape(-1, WIDTH) @ self.pairs).reshape(n, CONTEXT, 2 * WIDTH)
@@ -268,52 +296,73 @@ def sparse_gradients(w: dict[str, np.ndarray], output: Output, inputs: np.ndarra
     logits, s = forward(w, inputs, keep=True)
     n, mask, symbols = len(inputs), real.ravel(), np.where(real, targets, 0).ravel()
     t = output.classes(symbols)
-    logits -= logits.max(axis=1, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(axis=1, keepdims=True)
     at = np.arange(len(t))
     total = max(1, int(mask.sum()))
-    loss = float(-np.log(np.maximum(p[at, t][mask], 1e-30)).sum() / total)
-    members, changes, inner = [], [], np.zeros_like(s["g"])
-    for group, where, who in output.groups(symbols):
-        states = s["g"][where]
+    p = _exp(logits)
+    share = 1 / _sums(p)
+    goal = at * HEAD + t
+    hit = p.take(goal) * share[:, 0]
+    one = (mask / np.float32(total)).astype(p.dtype)
+    p *= share * one[:, None]
+    p.reshape(-1)[goal] -= one
+    du, g = s["state"].T @ p, s["g"]
+    d: dict[str, np.ndarray] = {"U": du[:WIDTH], "b": du[WIDTH]}
+    dn = p @ w["U"].T
+    members, changes = [], []
+    groups = list(output.groups(symbols))
+    far = np.concatenate([np.zeros(0, np.int64), *[where for _, where, _ in groups]])
+    near = g.take(far, axis=0)
+    inner, begin = np.empty_like(near), 0
+    for group, where, who in groups:
+        part = slice(begin, begin + len(where))
+        begin = part.stop
+        states = near[part]
         q = output.odds(group, states, w)
-        q /= q.sum(axis=1, keepdims=True)
-        own = np.arange(len(who))
-        loss -= float(np.log(np.maximum(q[own, who], 1e-30)).sum() / total)
-        q[own, who] -= 1
-        q /= total
+        share = 1 / _sums(q)
+        goal = at[: len(who)] * q.shape[1] + who
+        hit[where] *= q.take(goal) * share[:, 0]
+        q *= share / np.float32(total)
+        q.reshape(-1)[goal] -= np.float32(1 / total)
         members.append(np.arange(group.start, group.stop))
         changes.append(q.T @ states)
-        inner[where] = q @ w["V"][group]
-    p[at, t] -= 1
-    p *= (mask / np.float32(total))[:, None].astype(np.float32)
-    d: dict[str, np.ndarray] = {"U": s["g"].T @ p, "b": p.sum(axis=0)}
-    dn = p @ w["U"].T + inner
-    dg = (dn - s["g"] * (dn * s["g"]).mean(axis=1, keepdims=True)) / s["r"]
+        np.matmul(q, w["V"][group], out=inner[part])
+    loss = float(-np.log(np.maximum(hit[mask], 1e-30)).sum() / total)
+    dn[far] += inner
+    dg = dn - g * (_sums(dn * g) / np.float32(WIDTH))
+    dg /= s["r"]
     d["W2"] = s["z"].T @ dg
-    dz = (dg @ w["W2"].T) * (s["z"] > 0)
+    dz = dg @ w["W2"].T
+    dz *= s["z"] > 0
     d["W1"], d["b1"] = s["h"].T @ dz, dz.sum(axis=0)
-    dh = dg + dz @ w["W1"].T
+    dh = dz @ w["W1"].T
+    dh += dg
     d["Wo"] = s["c"].T @ dh
-    dc = (dh @ w["Wo"].T).reshape(n, STRIDE, WIDTH)
-    da = dc @ s["v"].transpose(0, 2, 1)
-    dv = s["a"].transpose(0, 2, 1) @ dc
-    da = s["a"] * (da - (da * s["a"]).sum(axis=2, keepdims=True))
-    dq, dk = da @ s["k"], da.transpose(0, 2, 1) @ s["q"]
+    dcf = dh @ w["Wo"].T
+    dc = dcf.reshape(n, STRIDE, WIDTH)
+    kv, a = s["kv"], s["a"]
+    da = dc @ kv[:, :, WIDTH:].transpose(0, 2, 1)
+    da -= _sums(dcf * s["c"]).reshape(n, STRIDE, 1)  # the sums of da * a, by the narrower product
+    da *= a
+    dkv = np.concatenate([da.transpose(0, 2, 1) @ s["q"], a.transpose(0, 2, 1) @ dc], axis=2).reshape(-1, 2 * WIDTH)
+    dqf = (da @ kv[:, :, :WIDTH]).reshape(-1, WIDTH)
     scale = np.float32(WIDTH**-0.5)
-    own = s["own"].reshape(-1, WIDTH)
-    dqf, dkf, dvf = dq.reshape(-1, WIDTH), dk.reshape(-1, WIDTH), dv.reshape(-1, WIDTH)
-    d["Wq"], d["Wk"], d["Wv"] = own.T @ dqf * scale, s["flat"].T @ dkf, s["flat"].T @ dvf
-    dx = (dkf @ w["Wk"].T + dvf @ w["Wv"].T).reshape(n, CONTEXT, WIDTH)
-    dx[:, CONTEXT - STRIDE :] += (dqf @ w["Wq"].T * scale + dh).reshape(n, STRIDE, WIDTH)
-    dx[inputs < 0] = 0
-    d["P"] = dx.sum(axis=0)
-    order = np.argsort(np.maximum(inputs, 0), axis=None, kind="stable")
-    rows, begins = np.unique(np.maximum(inputs, 0).ravel()[order], return_index=True)
-    d["E"] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], begins, axis=0)
+    d["Wq"] = s["own"].T @ dqf * scale
+    dp = s["flat"].T @ dkv
+    d["Wk"], d["Wv"] = dp[:, :WIDTH], dp[:, WIDTH:]
+    dx = (dkv @ s["pairs"].T).reshape(n, CONTEXT, WIDTH)
+    dh += dqf @ (w["Wq"].T * scale)
+    dx[:, CONTEXT - STRIDE :] += dh.reshape(n, STRIDE, WIDTH)
+    if (inputs[:, 0] < 0).any():
+        dx[inputs < 0] = 0
+    d["P"] = (np.ones(n, dx.dtype) @ dx.reshape(n, -1)).reshape(CONTEXT, WIDTH)
+    # Sixteen bits, where they are enough, are sorted by counting.
+    read = np.maximum(inputs, 0).ravel().astype(np.uint16 if len(w["E"]) <= 1 << 16 else np.int64)
+    order = np.argsort(read, kind="stable")
+    read = read[order]
+    begins = np.concatenate(([0], np.flatnonzero(read[1:] != read[:-1]) + 1))
+    d["E"] = np.add.reduceat(dx.reshape(-1, WIDTH).take(order, axis=0), begins, axis=0)
     d["V"] = np.concatenate(changes) if changes else np.zeros((0, WIDTH), w["V"].dtype)
-    return loss, d, {"E": rows, "V": np.concatenate(members) if members else np.zeros(0, np.int64)}
+    return loss, d, {"E": read[begins].astype(np.int64), "V": np.concatenate(members) if members else np.zeros(0, np.int64)}
 
 
 def train(model: Model, texts: list[np.ndarray], steps: int = STEPS, batch: int = BATCH, rate: float = 0.01, seed: int = 11) -> list[float]:
@@ -343,12 +392,22 @@ class Adam:
         loss, d, rows = sparse_gradients(self.w, self.output, inputs, targets, real)
         self.n += 1
         for k, g in d.items():
-            at = rows.get(k, slice(None))
-            m, s = self.m[k][at], self.s[k][at]
-            m = m + 0.1 * (g - m)
-            s = s + 0.01 * (g * g - s)
-            self.m[k][at], self.s[k][at] = m, s
-            self.w[k][at] -= (pace * (m / (1 - 0.9**self.n)) / (np.sqrt(s / (1 - 0.99**self.n)) + 1e-8)).astype(np.float32)
+            at = rows.get(k)
+            m, s = (self.m[k], self.s[k]) if at is None else (self.m[k].take(at, axis=0), self.s[k].take(at, axis=0))
+            m *= 0.9
+            m += 0.1 * g
+            s *= 0.99
+            s += (0.01 * g) * g
+            change = np.sqrt(s)
+            change *= (1 - 0.99**self.n) ** -0.5
+            change += 1e-8
+            np.divide(m, change, out=change)
+            change *= pace / (1 - 0.9**self.n)
+            if at is None:
+                self.w[k] -= change
+            else:
+                self.m[k][at], self.s[k][at] = m, s
+                self.w[k][at] -= change
         return loss
 
 
@@ -392,7 +451,7 @@ def learn(training: DataFrame, shared, path: str, batch: int = BATCH, rounds: in
             read, met, rng = np.zeros(size), np.zeros(HEAD), np.random.default_rng(13)
             for batch_rows in batches:
                 for part in bounded(batch_rows, size=2 << 20):
-                    texts = [own.windows(own_reader.text(tokens(t))[0]) for t in part["text"]]
+                    texts = [own.windows(own_reader.only(tokens(t))) for t in part["text"]]
                     if not texts:
                         continue
                     inputs, goal, real = (np.concatenate(x) for x in zip(*texts, strict=True))
@@ -492,6 +551,13 @@ class Reader:
             self.young[word] = own
         return own
 
+    def only(self, words: list[bytes]) -> np.ndarray:
+        """Symbols with the end."""
+        found = list(map(self.young.get, words))
+        if None in found:
+            found = [own or self.young.get(x) or self.word(x) for own, x in zip(found, words, strict=True)]
+        return np.frombuffer(b"".join([s for s, _ in found]) + self.end, dtype=np.uint16)
+
     def text(self, words: list[bytes]) -> tuple[np.ndarray, Sequence[float], Counter]:
         """Symbols with the end, log10 counts of the frequent words, and the other words with how often they occur."""
         if not words:
@@ -580,7 +646,7 @@ def score_documents(documents: DataFrame, model_path: str | None = None, fold: i
     unit = F.pmod(F.xxhash64(F.col("i"), F.lit("attention")), F.lit(1 << 30))
     chosen = training.filter(unit < F.lit(int(min(1.0, sample / max(1, ends)) * (1 << 30)))).limit(2 * sample).collect()
     fitted = Reader(cutter, model, {})
-    train(model, [fitted.text(tokens(r["text"]))[0] for r in sorted(chosen, key=lambda r: str(r["i"]))], steps)
+    train(model, [fitted.only(tokens(r["text"])) for r in sorted(chosen, key=lambda r: str(r["i"]))], steps)
     shared = spark.sparkContext.broadcast((model, frequent))
     learnt = spark.sparkContext.broadcast(learn(training, shared, path, batch) if ends else model.weights)
 

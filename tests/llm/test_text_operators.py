@@ -454,6 +454,32 @@ def distribution(model, inputs):
     return out
 
 
+def test_symbols_alone_are_those_of_the_text():
+    cutter = lm.Cutter(lm.Vocabulary.load(lm.default_path()))
+    model = lm.Model(np.arange(len(lm.Vocabulary.load(lm.default_path()).pieces) + 1, dtype=np.uint16), None, {})
+    reading, both = lm.Reader(cutter, model, {}), lm.Reader(cutter, model, {b"the": 1.0})
+    for text in ("", "the cat and the dog", "the cat again", "x" * 200 + " the " + "x" * 200, "\u00e4\u4e2d \U0001f600"):
+        words = lm.tokens(text)
+        assert reading.only(words).tolist() == both.text(words)[0].tolist() == both.only(words).tolist()
+
+
+def test_loss_by_definition_with_padding_and_large_scores():
+    rng = np.random.default_rng(4)
+    for scale in (1.0, 40.0):
+        model = lm.Model(None, output(), lm.fresh_weights(rng.normal(size=lm.HEAD), 300))
+        for k in ("U", "V"):
+            model.weights[k] += rng.normal(0, 0.3, model.weights[k].shape).astype(np.float32)
+        for k in ("E", "b"):
+            model.weights[k] *= np.float32(scale)
+        parts = [model.windows(rng.integers(0, 300, n)) for n in (5, 40)]
+        inputs, targets, real = (np.concatenate(x) for x in zip(*parts, strict=True))
+        loss, d = lm.gradients(model.weights, model.output, inputs, targets, real)
+        told = distribution(model, inputs)
+        told = told[np.arange(len(told)), np.where(real, targets, 0).ravel()][real.ravel()]
+        assert loss == pytest.approx(-np.maximum(told, np.log(1e-30)).mean(), rel=1e-4)
+        assert all(np.isfinite(g).all() for g in d.values())
+
+
 def test_each_id_is_scored_once():
     rng = np.random.default_rng(1)
     model = lm.Model(None, output(), lm.fresh_weights(rng.normal(size=lm.HEAD), 300))
